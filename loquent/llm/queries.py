@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, decontaminate, langid, neardup, quality
+from loquent.llm import ann, decontaminate, langid, neardup, packing, quality, tokenfile
+from loquent.llm.scratch import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,22 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, spark).select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Scratch(spark).path("token-files")
+    tokenfile.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, _tokenizer(), out)
+    return tokenfile.read(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, _tokenizer())
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), spark)
     return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_distinct("leaks.item_id").alias("item_ids"), F.array_max("leaks.similarity").alias("similarity"))
