@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, decontaminate, langid, neardup, packing, quality, tokenfile
+from loquent.llm import ann, decontaminate, langid, neardup, packing, pii, quality, tokenfile
 from loquent.llm.scratch import Scratch
 
 
+#: The key of the surrogates; a real run is given a secret one.
+PII_KEY = "loquent-example-key"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -25,6 +29,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, spark).select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.redact(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, PII_KEY)
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.col("entities.kind").alias("kinds"))
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
