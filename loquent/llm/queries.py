@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, decontaminate, langid, neardup, packing, pii, quality, repeats, tokenfile
+from loquent.llm import ann, decontaminate, langid, maxent, neardup, packing, pii, quality, repeats, tokenfile
 from loquent.llm.scratch import Scratch
 
 
@@ -66,6 +66,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5, spark)
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = maxent.score(docs, docs.filter(~maxent.held_out()), spark)
+    return out.select("doc_id", maxent.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
