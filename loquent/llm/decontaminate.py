@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from loquent.llm import textbuf as tb
+from loquent.llm.columns import with_text_column
 
 MASKS = ("11111", "1101101", "1110011", "11001011")
 SIMILARITY = 0.8
@@ -126,37 +128,28 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(ids, texts)
 
 
-def _scan(docs: DataFrame, index: Index, spark: SparkSession, keep: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for part in tb.slices(batches):
-            hashes, first = tb.word_hashes(*tb.buffers(part.column("text")), tb.NOT_ALNUM)
-            lists: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for d, i, similarity, start in index.matches(hashes, first):
-                lists[d].append({"item_id": index.ids[i], "similarity": similarity, "start_word": start})
-            leaks = pa.array(lists, pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int32())])))
-            names = [x for x in part.schema.names if x != keep]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), leaks], [*names, keep])
-
-    leaks = "array<struct<item_id: long, similarity: double, start_word: int>>"
-    kept = [f for f in docs.schema.fields if f.name != keep]
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, StructType([*kept, StructField(keep, _parse_datatype_string(leaks))]))
+_LEAK = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int32())])
+_LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType()), StructField("start_word", IntegerType())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
-    """The documents' columns and `leaks`: each benchmark item that the text contains, with similarity and place.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, name: str = "leaks") -> DataFrame:
+    """The documents' columns and `name`: each benchmark item that the text contains, with similarity and place.
 
     The text is read once per block of items and is never shuffled; one block (the usual case) adds no join.
     """
-    out, name = docs, "leaks"
-    empty = F.expr("cast(array() as array<struct<item_id: long, similarity: double, start_word: int>>)")
     found = []
     for k, index in enumerate(_blocks(benchmark)):
-        out = _scan(out, index, spark, f"__leaks_{k}")
-        found.append(f"__leaks_{k}")
-    joined = F.concat(*(F.col(x) for x in found)) if found else empty
-    return out.withColumn(name, F.array_sort(joined)).drop(*found)
+        shared = spark.sparkContext.broadcast(index)
+
+        def make(text: pa.Array, shared=shared) -> pa.Array:
+            index = shared.value
+            hashes, first = tb.word_hashes(*tb.buffers(text), tb.NOT_ALNUM)
+            lists: list[list[dict]] = [[] for _ in range(len(text))]
+            for d, i, similarity, start in index.matches(hashes, first):
+                lists[d].append({"item_id": index.ids[i], "similarity": similarity, "start_word": start})
+            return pa.array(lists, pa.list_(_LEAK))
+
+        found.append(f"__{name}_{k}")
+        docs = with_text_column(docs, found[-1], _LEAKS, make)
+    joined = F.concat(*map(F.col, found)) if found else F.array().cast(_LEAKS)
+    return docs.withColumn(name, F.array_sort(joined)).drop(*found)

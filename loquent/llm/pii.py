@@ -140,8 +140,8 @@ def attempts(found: DataFrame, key: str, scratch: Scratch, most: int = 20) -> Da
     raise RuntimeError(f"surrogates still meet after {most} attempts")
 
 
-def redact(docs: DataFrame, spark: SparkSession, key: str) -> DataFrame:
-    """The documents' columns with surrogates in `text`, and `entities`: kind and surrogate of each, in order.
+def redact(docs: DataFrame, spark: SparkSession, key: str, name: str = "entities") -> DataFrame:
+    """The documents' columns with surrogates in `text`, and `name`: kind and surrogate of each, in order.
 
     Rows without entities are neither shuffled nor joined.
     """
@@ -172,8 +172,8 @@ def redact(docs: DataFrame, spark: SparkSession, key: str) -> DataFrame:
     entities = F.col("__hits")
     for step in (placed, tried, digested, made):
         entities = F.transform(entities, step)
-    some = some.withColumn("entities", entities)
-    text = F.array_join(F.zip_with(F.split("text", ALL, -1), F.col("entities.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    some = some.withColumn(name, entities)
+    text = F.array_join(F.zip_with(F.split("text", ALL, -1), F.col(f"{name}.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     some = some.withColumn("text", text).drop("__key", "__again", "__hits")
-    none = none.withColumn("entities", F.expr("cast(array() as array<struct<kind: string, surrogate: string>>)")).drop("__hits")
+    none = none.withColumn(name, F.expr("cast(array() as array<struct<kind: string, surrogate: string>>)")).drop("__hits")
     return some.unionByName(none, allowMissingColumns=False)

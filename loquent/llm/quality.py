@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loquent.llm import textbuf as tb
+from loquent.llm.columns import with_text_column
 
 #: At most about so many labelled rows are used to fit; the rest of the corpus is scored, not sampled.
 FIT_ROWS = 20_000
@@ -151,5 +153,11 @@ def score(docs: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def score_rows(docs: DataFrame, model: dict, spark: SparkSession, name: str) -> DataFrame:
+    """All columns of `docs`, and the score as the column `name`."""
+    shared = spark.sparkContext.broadcast(model)
+    return with_text_column(docs, name, DoubleType(), lambda text: pa.array(scores(shared.value, features(*tb.buffers(text)))))
+
+
 def held_out(column: str = "doc_id", by: int = 5, rest: int = 0):
     return F.crc32(F.col(column).cast("string")) % by == rest

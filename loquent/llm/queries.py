@@ -34,7 +34,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.col("entities.kind").alias("kinds"))
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -42,12 +42,12 @@ def _tokenizer() -> str:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark).path("token-files")
-    tokenfile.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, _tokenizer(), out)
+    tokenfile.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer(), out)
     return tokenfile.read(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, _tokenizer())
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer())
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

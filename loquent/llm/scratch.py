@@ -22,7 +22,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/loquent-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -31,12 +30,12 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            if path := self.paths.pop(id(table), None):
+            if path := getattr(table, "_scratch_path", None):
                 self.remove(path)
 
     def remove(self, path: str) -> None:
