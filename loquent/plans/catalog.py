@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from loquent.plans import registry
+
+MODULES = ("relational", "aggregates", "functions", "intervals")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"loquent.plans.{name}_queries")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(registry.SQL)
