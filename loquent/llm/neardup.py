@@ -5,10 +5,11 @@ whole sequence is its only shingle). SuperMinHash gives each shingle a random pe
 writes its j-th rank j + random there; a slot keeps its least value. Ranks of a shingle are correlated, so signatures
 vary less than independent ones, and once all slots hold values below j, later ranks can be skipped.
 
-Bands of slots give candidates. In each bucket a few hubs are compared with the members that are not yet known to be in
-the hub's component, on full shingle sets; then hubs double, until no bucket holds two components that were not
-compared. So no link between different texts is lost, and no bucket's pairs are all emitted. Equal sets are one class
-from the start. Components are found by star contraction.
+Bands of slots give candidates. Shingles that a set shares with no other candidate bound its similarity to all of them,
+so most sets that only look alike drop out before any pair is made. In each bucket the members that share most, its hubs,
+are compared with those of other components that sizes and own shingles still allow; what no hub reached is compared last
+under the same bounds, on full shingle sets. So no link between different texts is lost, and a bucket's pairs are not
+all emitted. Equal sets are one class from the start. Components are found by star contraction.
 
 Defined results: null and wordless texts have no shingles, and are linked with nothing; ties are settled by doc_id;
 repeated rows belong to one component, as equal texts do; an empty table gives an empty result.
@@ -31,6 +32,9 @@ from loquent.llm.scratch import Scratch
 #: 36 bands of 7 slots: a pair of similarity 0.85 shares no bucket with probability under 1e-6.
 BANDS, ROWS = 36, 7
 SHINGLE = 5
+#: Buckets are finished at once when the pairs in them are at most so many, or 20 for each of their rows; only pairs that
+#: may still link leave the join.
+PAIRS = 50_000_000
 
 
 def superminhash(shingles: np.ndarray, slots: int) -> np.ndarray:
@@ -81,25 +85,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v), how many shingles `both` full sets have, and whether that links them: 100 * both >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("a"), batch.column("b")
-            keep = np.zeros(batch.num_rows, bool)
+            both, keep = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 small, big = (a, b) if len(a) < len(b) else (b, a)
                 at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                both = int((big[at] == small).sum())
-                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], ["u", "v"])
+                both[i] = (big[at] == small).sum()
+                keep[i] = 100 * both[i] >= percent * (len(a) + len(b) - both[i])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both), pa.array(keep)], ["u", "v", "both", "linked"])
 
     a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary, both long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
@@ -119,34 +122,48 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) ->
     with_text = docs.filter("text is not null").select("doc_id", "text").join(texts, "doc_id")
     sets = scratch.table(_checked(with_text).dropDuplicates(["node"]), "sets")
 
-    labels = member.select("node").distinct().withColumn("root", F.col("node"))
-    edges = None
-    hubs = 1
-    live = member.withColumn("root", F.col("node")).withColumn("rank", F.xxhash64("node"))
+    # What a class shares with no other candidate bounds its similarity to any of them; see _may_link.
+    member = member.join(_own(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    member = member.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    live = scratch.table(member.select("bucket", "node", "n", "own", F.col("node").alias("root"), (F.col("own") / F.col("n")).alias("rank"), F.lit(None).cast("long").alias("both")), "live")
+    edges, labels, hubs = None, None, 1
     while True:
-        # The next hubs of each bucket: its members of the lowest ranks. Ranks are of the class, not of the bucket, so
-        # that many buckets share their hubs. The filter on row_number keeps `hubs` rows a bucket before the shuffle.
-        order = Window.partitionBy("bucket").orderBy("rank", "node")
-        hub = live.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= hubs).select("bucket", F.struct("node", "root", "n").alias("hub"))
-        at = live.join(hub, "bucket")
-        other = at.filter((F.col("hub.root") != F.col("root")) & (F.col("hub.node") != F.col("node")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
-        pairs = other.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-        found = scratch.table(_verified(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges, scratch)
-        labels = roots.withColumnRenamed("root", "to")
-        # Hubs are done with. A bucket is done once the rest of it is one component.
-        done = hub.select("bucket", "hub.node")
-        rest = live.select("bucket", "node", "n", "rank").join(done, ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
-        open_ = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-        following = scratch.table(rest.join(open_, "bucket").select("bucket", "node", "n", "root", "rank"), "live")
-        if hubs > 1:
-            scratch.drop(live)
-        live = following
-        if live.isEmpty():
+        size = live.groupBy("bucket").agg(F.count("*").alias("many"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        work, total = size.agg(F.sum(F.col("many").cast("double") ** 2), F.sum("many")).first()
+        if work is None:
+            break
+        last = hubs > 16 or (hubs > 1 and work <= max(PAIRS, 20 * total))
+        if last:
+            hub = live
+        else:
+            # The next hubs of each bucket are its members that share most. Ranks are of the class, not of the bucket, so
+            # that many buckets share hubs. The filter on row_number keeps `hubs` rows a bucket before the shuffle.
+            order = Window.partitionBy("bucket").orderBy("rank", "node")
+            hub = scratch.table(live.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= hubs).drop("nth"), "hubs")
+        hub = hub.select(F.col("bucket").alias("at"), *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "own", "root", "both")))
+        link = (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("hub_root")) & _may_link(percent)
+        if last:
+            link = link & (F.col("node") < F.col("hub_node"))
+        pairs = live.join(hub, link).select(F.least("node", "hub_node").alias("u"), F.greatest("node", "hub_node").alias("v")).distinct()
+        found = scratch.table(_compared(pairs, sets, percent), "links")
+        linked = found.filter("linked").select("u", "v")
+        edges = linked if edges is None else edges.unionByName(linked)
+        labels = components(edges, scratch).withColumnRenamed("root", "to")
+        if last:
             break
-        hubs *= 2
+        # Hubs are done with: they were compared with all of their bucket that they may link to.
+        rest = live.drop("root").join(hub.select(F.col("at").alias("bucket"), F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
+        if hubs == 1:
+            # What a member has in common with its bucket's first hub bounds what two members can have in common.
+            one = hub.select(F.col("at").alias("bucket"), "hub_node")
+            rest = rest.drop("both").join(one, "bucket").withColumn("u", F.least("node", "hub_node")).withColumn("v", F.greatest("node", "hub_node"))
+            rest = rest.join(found.select("u", "v", "both"), ["u", "v"], "left").drop("u", "v", "hub_node")
+        rest = rest.join(labels, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
+        following = scratch.table(rest.select("bucket", "node", "n", "own", "root", "rank", "both"), "live")
+        scratch.drop(live)
+        live, hubs = following, hubs * 4
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("to")).limit(0)
 
     of_class = classes.select("node", "id").join(labels.withColumnRenamed("to", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -156,6 +173,31 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """node and `own`: how many of its shingles stand in no other of these sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(data)), pa.array(np.repeat(part.column("id").to_numpy(), [len(x) for x in data]))], ["shingle", "id"])
+
+    each = sets.select(F.xxhash64("node").alias("id"), "set").mapInArrow(run, "shingle long, id long")
+    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return sets.select("node", F.xxhash64("node").alias("id")).join(single.groupBy("id").agg(F.count("*").alias("own")), "id").select("node", "own")
+
+
+def _may_link(percent: int):
+    """Whether sizes leave room for the similarity. At most n - own of either set can be common; and if both sets were
+    compared with one hub, at most what each kept of it and what both may have gained."""
+    most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"), F.col("n"), F.col("hub_n"))
+    kept = F.least("both", "hub_both")
+    gained = F.least(F.col("n") - F.col("both") - F.col("own"), F.col("hub_n") - F.col("hub_both") - F.col("hub_own"))
+    most = F.when(F.col("both").isNotNull() & F.col("hub_both").isNotNull(), F.least(most, kept + gained)).otherwise(most)
+    return 100 * most >= percent * (F.col("n") + F.col("hub_n") - most)
+
+
 def _checked(with_text: DataFrame) -> DataFrame:
     """Sets of the texts that have the node they were joined with (an id may stand for several texts)."""
 
