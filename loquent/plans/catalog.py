@@ -6,7 +6,7 @@ import importlib
 
 from loquent.plans import registry
 
-MODULES = ("relational", "aggregates", "functions", "intervals")
+MODULES = ("relational", "aggregates", "functions", "intervals", "text", "folds", "streams", "extras")
 
 
 def _load() -> None:

@@ -35,9 +35,10 @@ def read_messages(spark: SparkSession, path: str, schema: str, kind: str) -> Dat
     return rows.filter(F.col("m.type") == kind).select("m.*")
 
 
-def stateful(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str, ttl_ms: int = 3_600_000) -> DataFrame:
+def stateful(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str, ttl_ms: int | None = None) -> DataFrame:
     """A machine for each key over a stream (S1, S8, S13). Rows of a micro-batch are taken in order; state that is idle
-    for ttl_ms is closed and dropped (S4, S5, S16)."""
+    for ttl_ms is closed and dropped (S4, S5, S16). Streams with a ttl_ms never end by themselves, as Spark plans batches
+    without rows for them; give none to those for run_all."""
     kind = df.schema[key].dataType.simpleString()
     names = [key, *(c.strip().split(" ")[0] for c in outputs.split(","))]
 
@@ -52,10 +53,11 @@ def stateful(df: DataFrame, key: str, order: list[str], inputs: list[str], machi
             for row in table[inputs].itertuples(index=False, name=None):
                 rows += own.push(tuple(None if x != x else x for x in row))
             state.update((pickle.dumps(own),))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(keys[0], *r) for r in rows], columns=names)
 
-    return df.select(key, *dict.fromkeys([*order, *inputs])).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {outputs}", "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.select(key, *dict.fromkeys([*order, *inputs])).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {outputs}", "machine binary", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def daily_totals(events: DataFrame, late: str = "2 days") -> DataFrame:
