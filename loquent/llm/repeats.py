@@ -244,7 +244,11 @@ def _one_hash_np(context: np.ndarray, digest: np.uint64, place: np.ndarray) -> n
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Strings of LENGTH bytes of the contexts that occur in two of them."""
+    """Strings of LENGTH bytes of the contexts that occur in two of them at the same distance from the anchor.
+
+    Equal strings have equal anchors at equal places, so the distance loses none; without it, contexts of one text that
+    overlap would count one occurrence twice.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,8 +265,8 @@ def _counted(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("context").take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(tb.range_hash(sums, start, start + LENGTH).view(np.int64))], ["context", "low", "string"])
 
     each = rows.select("context", "before", "bytes").mapInArrow(strings, "context long, low int, string long")
-    twice = each.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    return each.join(twice, "string").select("context", "low", (F.col("low") + LENGTH).alias("high"))
+    twice = each.groupBy("string", "low").agg(F.count("*").alias("n")).filter("n > 1").select("string", "low")
+    return each.join(twice, ["string", "low"]).select("context", "low", (F.col("low") + LENGTH).alias("high"))
 
 
 def remove(docs: DataFrame, spark: SparkSession) -> DataFrame:
