@@ -187,9 +187,10 @@ def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list
 
 def _tightened(patterns: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Break up the emptiest sequences and as many of those with the most short pieces, and fit their pieces again,
-    largest first, wherever that saves sequences."""
+    largest first, wherever that saves sequences. Where short pieces are too few to fill what rounding up left over,
+    the larger shares save sequences too, and most of the plan is fitted again."""
     total = sum(c for _, c in patterns)
-    for part in (0.02, 0.05, 0.1, 0.25):
+    for part in (0.02, 0.05, 0.1, 0.25, 0.5, 0.8):
         emptiest = sorted((p for p in patterns if sum(p[0]) < size), key=lambda p: sum(p[0]))
         finest = sorted(patterns, key=lambda p: -sum(n * LARGE <= size for n in p[0]))
         rest, loose, bins = dict(patterns), {}, _Bins(size)

@@ -1,0 +1,361 @@
+"""Each operator's query on small whole tables against brute force, a round trip or held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from loquent.llm import ann, decontaminate, langid, maxent, neardup, packing, pii, quality, queries, rans, repeats, tokenfile
+from loquent.llm.scratch import Scratch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, edged):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{edged}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def run(spark, edged):
+    return lambda name: queries.queries()[name](spark, edged)
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def linked_components(sets: dict, percent: int = 85) -> dict:
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer())
+    t.encode_special_tokens = True
+    return {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for d, x in texts.items()}
+
+
+def test_near_duplicates_equal_brute_force(run, texts):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    want = linked_components(sets)
+    got = {r.doc_id: r for r in run("op1_near_duplicates").collect()}
+    assert got.keys() == sets.keys()
+    for d, r in got.items():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[d]), want[d], want[d] == d), d
+
+
+def test_near_duplicates_of_many_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(words)))
+    sets = {d: shingles(t) for d, t in rows}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked_components(sets)
+
+
+def test_superminhash_estimates_similarity():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    a, b = neardup.superminhash(x[:1000], 252), neardup.superminhash(x[500:], 252)
+    assert abs((a == b).mean() - 1 / 3) < 0.1
+    assert (neardup.superminhash(x[:1], 16) == neardup.superminhash(x[:1], 16)).all()
+
+
+def test_language(run, spark, edged, texts):
+    rows = spark.read.parquet(f"{edged}/documents.parquet").collect()
+    lang = {r.doc_id: r.lang for r in rows}
+    got = run("op2_language").collect()
+    assert len(got) == len(rows)
+    known, right = 0, 0
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or ""))
+        if r.held_out and lang[r.doc_id] and r.lang_pred != "und":
+            known, right = known + 1, right + (r.lang_pred == lang[r.doc_id])
+    assert known > 20 and right / known > 0.9
+
+
+def test_language_spans_of_mixed_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    by = {r.lang: r.text for r in docs.filter("length(text) > 400").select("lang", "text").collect()}
+    a, b = by["en"].split()[:40], by["de"].split()[:40]
+    mixed = spark.createDataFrame([(1, " ".join(a + b))], "doc_id long, text string")
+    spans = langid.identify(mixed, model, spark).first().spans
+    assert {s.lang for s in spans} >= {"en", "de"}
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    scores = rng.normal(0, 2, (6, 3))
+    got = langid.viterbi(scores, np.array([0, 6]), 1.5)
+    worth = lambda way: sum(scores[i, k] for i, k in enumerate(way)) - 1.5 * sum(x != y for x, y in zip(way, way[1:]))
+    best = max(itertools.product(range(3), repeat=6), key=worth)
+    assert worth(tuple(got.tolist())) == pytest.approx(worth(best))
+
+
+def redacted(spark, rows, key="k"):
+    out = pii.redact(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark, key)
+    return out, {r.doc_id: r for r in out.collect()}
+
+
+def test_surrogates(spark):
+    rows = ["Write to Ann.Lee@example.com or ann.lee@EXAMPLE.com now", "ann.lee@example.com again, call +49 30 1234 5678", "card 4111 1111 1111 1111 and 4111-1111-1111-1111", "Mr. John Smith met Frau Anna Schmidt", "Г-н Иванов здесь", "host 192.168.4.5 ssn 123-45-6789", "plain prose without any of it", None, "bob@example.com"]
+    df, got = redacted(spark, rows)
+    plan = df._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+    text = {d: r.text for d, r in got.items()}
+    assert text[6] == rows[6] and text[7] is None
+    one = got[0].entities[0].surrogate
+    assert [e.surrogate for e in got[0].entities] == [one, one] and got[1].entities[0].surrogate == one and got[8].entities[0].surrogate != one
+    assert re.fullmatch(r".*call \+49 [0-9]{2} [0-9]{4} [0-9]{4}", text[1]) and "1234 5678" not in text[1]
+    a, b = (e.surrogate for e in got[2].entities)
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", a) and a.replace(" ", "") == b.replace("-", "") != "4111111111111111"
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10
+    assert luhn(a.replace(" ", "")) == 0
+    he, she = (e.surrogate for e in got[3].entities)
+    assert he.startswith("Mr. ") and she.startswith("Frau ") and he.split()[1] in pii.NAMES["m", "latin"] and she.split()[1] in pii.NAMES["f", "latin"]
+    assert re.search("[а-я]", got[4].entities[0].surrogate) and "Иванов" not in text[4]
+    assert "192.168.4.5" not in text[5] and re.search(r"host 10(\.\d+){3} ssn \d{3}-\d{2}-\d{4}", text[5])
+    assert redacted(spark, rows, "other")[1][8].text != text[8]
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [f"ssn {i:03d}-{i % 90 + 10}-{i * 7 % 9000 + 1000} and Mr. Name{chr(65 + i % 26)}{chr(97 + i // 26)}x" for i in range(600)]
+    _, got = redacted(spark, rows)
+    for k in (0, 1):
+        assert len({r.entities[k].surrogate for r in got.values()}) == 600
+
+
+def test_token_files_round_trip(run, texts):
+    ids, start = encoded(texts), 0
+    got = {r.doc_id: r for r in run("op4_token_files").collect()}
+    for d in sorted(ids):
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids[d]), zlib.crc32(ids[d].tobytes()))
+        start += len(ids[d])
+    assert len(got) == len(ids)
+
+
+def test_rans_segments_and_damage():
+    rng = np.random.default_rng(0)
+    ids = rng.zipf(1.3, 400_000).clip(0, 40_000).astype(np.uint32)
+    table = rans.Table(*np.unique(ids, return_counts=True))
+    block = rans.encode(table, ids)
+    assert (rans.decode(table, block) == ids).all() and len(block) < ids.nbytes / 2
+    assert len(rans.decode(table, rans.encode(table, ids[:0]))) == 0
+    broken = bytearray(block)
+    broken[len(block) // 2] ^= 1
+    with pytest.raises(Exception):
+        rans.decode(table, bytes(broken))
+
+
+def check_packing(rows, ids, size=2048):
+    seen, room = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length <= size and zlib.crc32(part.tobytes()) == r.ids_crc32
+        seen[r.doc_id][r.piece] = (r.start, r.length)
+        room[r.sequence_id].append((r.offset, r.length))
+    assert seen.keys() == ids.keys()
+    for d, parts in seen.items():
+        at = 0
+        for k in range(len(parts)):
+            assert parts[k][0] == at
+            at += parts[k][1]
+        assert at == len(ids[d]) and len(parts) == -(-at // size) and all(parts[k][1] == size for k in range(1, len(parts)))
+    for spans in room.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(room)
+
+
+def test_packing(run, texts):
+    ids = encoded(texts)
+    used = check_packing(run("op5_packing").collect(), ids)
+    assert used <= math.ceil(sum(map(len, ids.values())) / 2048) + max(1, len(ids) // 100)
+
+
+def test_packing_plan_against_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 2049, 5000).tolist()
+    used = sum(n for _, n in packing.plan(dict(Counter(lengths))))
+    room: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= x]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= x
+        else:
+            room.append(2048 - x)
+    assert used <= len(room) + 2
+
+
+def test_decontamination(spark):
+    item = [f"item{i}" for i in range(40)]
+    swapped = [w if i % 9 else f"other{i}" for i, w in enumerate(item)]
+    prose = [f"prose{i}" for i in range(300)]
+    docs = [(1, " ".join(prose[:100] + item + prose[100:])), (2, " ".join(prose + swapped)), (3, " ".join(prose)), (4, " ".join(item[:20] + prose)), (5, None), (6, ""), (7, " ".join(prose + item[:20] + ["in", "between"] + item[20:])), (8, "so short an item")]
+    bench = [(10, " ".join(item)), (11, None), (12, ""), (13, "so short an item")]
+    out = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), spark)
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in out.collect()}
+    assert got == {1: {10}, 2: {10}, 3: set(), 4: set(), 5: set(), 6: set(), 7: {10}, 8: {13}}
+
+
+def test_decontamination_finds_whole_items(run, spark, edged, texts):
+    words = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)))
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{edged}/benchmark.parquet").collect()}
+    plain = {d: words(t) for d, t in texts.items()}
+    got = {r.doc_id: set(r.item_ids) for r in run("op6_decontaminate").collect()}
+    assert got.keys() == texts.keys()
+    for d, t in plain.items():
+        assert {i for i, x in items.items() if x and f" {x} " in f" {t} "} <= got[d]
+
+
+def test_quality(run, spark, edged):
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{edged}/labels.parquet").collect()}
+    rows = run("op7_quality").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    fresh = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    good, bad = [s for s, y in fresh if y], [s for s, y in fresh if not y]
+    assert np.mean([g > b for g in good for b in bad]) > 0.75
+
+
+def test_quality_without_labels(spark, edges):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.score(edges, quality.train(edges, none), spark).collect()} == {0.5}
+
+
+def test_nearest_neighbours(run, spark, edged):
+    rows = spark.read.parquet(f"{edged}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got, found, asked = defaultdict(list), 0, 0
+    for r in run("op8_nearest").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert got.keys() == {i for i in ids.tolist() if i % 50 == 0}
+    for q, hits in got.items():
+        cos = unit @ unit[ids == q][0]
+        best = [int(ids[k]) for k in np.lexsort((ids, -cos)) if ids[k] != q][:5]
+        assert [k for k, *_ in sorted(hits)] == [1, 2, 3, 4, 5]
+        found, asked = found + len({v for _, v, _ in hits} & set(best)), asked + 5
+        for _, v, s in hits:
+            assert s == pytest.approx(cos[ids == v][0], abs=1e-12)
+    assert found >= 0.9 * asked
+
+
+def test_nearest_neighbours_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(v, v.filter("vec_id % 50 = 0"), 5, spark).collect()]
+    assert sorted(got) == [(1, 1), (2, 9), (3, 2)]
+    assert ann.nearest(v.limit(0), v.limit(0), 5, spark).count() == 0
+
+
+def test_language_model(run, texts):
+    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    tokens = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts.items()}
+    counts = Counter(w for d, ws in tokens.items() if not out(d) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    gain = []
+    got = run("op9_language_model").collect()
+    assert len(got) == len(tokens)
+    for r in got:
+        ws = tokens[r.doc_id]
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+        if r.held_out and 20 < len(ws) < 10_000:
+            gain.append((r.score - r.base_score) / len(ws))
+    assert np.mean(gain) > 0
+
+
+def uncovered(texts, length=200):
+    raw = {d: (t or "").encode() for d, t in texts}
+    seen = Counter(hash(b[i : i + length]) for b in raw.values() for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in raw.items():
+        gone = np.zeros(len(b) + 2, np.int8)
+        for i in range(len(b) - length + 1):
+            if seen[hash(b[i : i + length])] > 1:
+                gone[1 + i : 1 + i + length] = 1
+        out[d] = (len(b), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone[1:]) if not g)).hexdigest())
+    return out
+
+
+def test_repeats_equal_brute_force(run, texts):
+    want = uncovered(texts.items())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run("op10_repeats").collect()}
+    assert got == want
+
+
+def test_repeats_in_hot_groups(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    shared = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 60)))) + shared + " ".join(word() for _ in range(int(rng.integers(0, 60))))) for i in range(150)]
+    rows += [(200, shared[:150]), (201, "ab" * 300), (202, "é" * 150)]
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    want = uncovered(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+
+
+OPERATORS = {
+    "near-duplicates": lambda d, s: neardup.near_duplicates(d, s),
+    "language": lambda d, s: langid.identify(d, langid.train(d), s),
+    "personal data": lambda d, s: pii.redact(d, s, "k"),
+    "packing": lambda d, s: packing.pack(d, s, queries.tokenizer()),
+    "decontamination": lambda d, s: decontaminate.find_leaks(d, d.limit(0).selectExpr("doc_id as item_id", "text"), s),
+    "language model": lambda d, s: maxent.score(d, d, s),
+    "repeats": lambda d, s: repeats.remove(d, s),
+}
+
+
+def _token_files(d, s):
+    out = Scratch(s).path("files")
+    tokenfile.write(d, s, queries.tokenizer(), out)
+    return tokenfile.read(s, out)
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, "token files"])
+def test_odd_rows_and_empty_tables(spark, edges, empty, name):
+    f = OPERATORS.get(name, _token_files)
+    assert f(empty, spark).count() == 0
+    rows = f(edges, spark).collect()
+    assert len({r.doc_id for r in rows}) == len({r.doc_id for r in edges.collect()})
+    if name != "packing":
+        assert len(rows) == edges.count()
