@@ -83,7 +83,13 @@ def _filter(spark: SparkSession, hashes: DataFrame):
     got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").view(np.bool_) if len(got) else np.zeros(1 << FILTER_BITS, bool))
+    return spark.sparkContext.broadcast(table.view(np.uint8))  # 2**(FILTER_BITS - 3) bytes: each executor keeps a file of it
+
+
+def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    bit = _bit(h)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -187,7 +193,7 @@ def covered(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame
         for part in tb.slices(batches):
             rows, at, hs, cs, lefts = [], [], [], [], []
             for i, place, h, c, left, right in _occurrences(*tb.buffers(part.column("text"))):
-                keep = repeated.value[_bit(h)]
+                keep = _passes(repeated.value, h)
                 for own, x in ((rows, np.full(len(h), i)), (at, place), (hs, h), (cs, c), (lefts, left << 16 | right)):
                     own.append(x[keep])
             if rows and len(take := np.concatenate(rows)):
@@ -213,7 +219,7 @@ def covered(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame
             digests = part.column("digest").to_numpy().view(np.uint64)
             out = []
             for i, place, h, c, left, right in _occurrences(raw, offsets):
-                keep = np.flatnonzero(chosen.value[_bit(_one_hash_np(c, digests[i], place))])
+                keep = np.flatnonzero(_passes(chosen.value, _one_hash_np(c, digests[i], place)))
                 begin = int(offsets[i])
                 for k in keep.tolist():
                     p = begin + int(place[k])
