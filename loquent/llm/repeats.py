@@ -7,8 +7,8 @@ context, the bytes that a string of LENGTH over it can reach. In a group, the co
 over their common prefixes with a stack gives the tree of intervals, and within each interval the common extensions to
 the left tell which occurrences repeat, and how far. Equal contexts are one entry of a group, with all its occurrences.
 
-Groups of more than HOT different contexts are not gathered: the hash of each of their strings of LENGTH bytes is
-counted instead, which gives the same bytes and spreads over all tasks.
+Groups of more than HOT different contexts are not gathered: the hashes of their strings of LENGTH bytes are counted
+instead, blocks of neighbouring strings first, which gives the same bytes and spreads over all tasks.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH keep all; repeated rows repeat each other, so
 all their strings of LENGTH bytes go; strings are judged on the input, not on what is left; matches never cross
@@ -31,6 +31,8 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
 #: More different contexts than this in a group are counted by strings.
 HOT = 64
+#: Neighbouring strings that are counted together first; divides REACH + 1.
+BLOCK = 13
 #: Bits of the fixed-size filters that tell scans of the texts which anchors matter. When they fill up, more rows pass; nothing is lost.
 FILTER_BITS = 26
 
@@ -233,7 +235,7 @@ def covered(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame
     ready = scratch.table(ready.groupBy("h", "context").agg(F.first("many").alias("many"), F.first("before").alias("before"), F.first("bytes").alias("bytes")), "pieces")
     few = ready.filter(~hot).select("h", "context", "before", "bytes").repartition("h").sortWithinPartitions("h", "context")
     by_tree = few.mapInArrow(_resolved, "context long, low int, high int")
-    by_count = _counted(ready.filter(hot))
+    by_count = _counted(ready.filter(hot), scratch)
     cover = whole.unionByName(by_tree).unionByName(by_count)
     spans = seen.select("doc_id", "digest", "place", "context").join(cover, "context")
     spans = spans.groupBy("doc_id", "digest").agg(F.collect_set(F.struct((F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))).alias("spans"))
@@ -249,30 +251,68 @@ def _one_hash_np(context: np.ndarray, digest: np.uint64, place: np.ndarray) -> n
     return context ^ digest ^ (place.astype(np.uint64) << np.uint64(40))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
+def _counted(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Strings of LENGTH bytes of the contexts that occur in two of them at the same distance from the anchor.
 
     Equal strings have equal anchors at equal places, so the distance loses none; without it, contexts of one text that
-    overlap would count one occurrence twice.
+    overlap would count one occurrence twice. Distances are taken in blocks of BLOCK first: what all strings of a block
+    have in common (its core) must repeat for any of them to repeat, and if all they reach (its hull) repeats, all do.
+    Only strings of blocks between the two are counted one by one, with one occurrence of each repeated hull of that core.
     """
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, place, least, most = _layout(batch)
+            low = np.arange(-REACH, 1, BLOCK)[None]
+            high = low + BLOCK - 1
+            some = np.maximum(low, least[:, None]) <= np.minimum(high, most[:, None])
+            own, block = np.nonzero(some)
+            at, first, last = place[own], low[0][block], high[0][block]
+            tag = block.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            core = tb.mix(tb.range_hash(sums, at + last, at + first + LENGTH) + tag)
+            all_ = (least[own] <= first) & (last <= most[own])
+            hull = np.zeros(len(own), np.uint64)
+            hull[all_] = tb.mix(tb.range_hash(sums, at[all_] + first[all_], at[all_] + last[all_] + LENGTH) + tag[all_])
+            yield pa.RecordBatch.from_arrays([batch.column("context").take(pa.array(own)), pa.array(first.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~all_)], ["context", "low", "core", "hull"])
+
+    each = rows.select("context", "before", "bytes").mapInArrow(blocks, "context long, low int, core long, hull long")
+    again = each.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    live = scratch.table(each.join(again, "core"), "blocks")
+    hulls = live.filter("hull is not null").groupBy("hull").agg(F.count("*").alias("n"), F.min("context").alias("one")).filter("n > 1")
+    hulls = scratch.table(hulls.select("hull", "one"), "hulls")
+    done = live.join(hulls.select("hull"), "hull").select("context", "low", (F.col("low") + BLOCK - 1 + LENGTH).alias("high"))
+    unsure = scratch.table(live.join(hulls.select("hull"), "hull", "left_anti").select("context", "low", "core"), "unsure")
+    shown = live.join(hulls.select("hull", F.col("one").alias("context")), ["hull", "context"]).join(unsure.select("core").distinct(), "core", "left_semi")
+    asked = unsure.select("context", "low", F.lit(True).alias("own")).unionByName(shown.select("context", "low", F.lit(False).alias("own")))
+    # At most REACH / BLOCK + 1 of a context.
+    asked = asked.groupBy("context").agg(F.collect_list(F.struct("low", "own")).alias("asked"))
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [x.as_buffer() for x in batch.column("bytes")]
-            sizes = np.array([b.size for b in data])
-            raw = np.frombuffer(b"".join(data), np.uint8)
-            ends = np.cumsum(sizes)
-            sums = tb.prefix_hash(raw, fold=False)
-            many = np.maximum(sizes - LENGTH + 1, 0)
-            own = np.repeat(np.arange(len(sizes)), many)
-            inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-            start = (ends - sizes)[own] + inner
-            low = inner - batch.column("before").to_numpy()[own]
-            yield pa.RecordBatch.from_arrays([batch.column("context").take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(tb.range_hash(sums, start, start + LENGTH).view(np.int64))], ["context", "low", "string"])
-
-    each = rows.select("context", "before", "bytes").mapInArrow(strings, "context long, low int, string long")
-    twice = each.groupBy("string", "low").agg(F.count("*").alias("n")).filter("n > 1").select("string", "low")
-    return each.join(twice, ["string", "low"]).select("context", "low", (F.col("low") + LENGTH).alias("high"))
+            sums, place, least, most = _layout(batch)
+            lists = batch.column("asked")
+            own = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            low = flat.field("low").to_numpy()[:, None] + np.arange(BLOCK)[None]
+            keep = (low >= least[own][:, None]) & (low <= most[own][:, None])
+            line, _ = np.nonzero(keep)
+            low, own = low[keep], own[line]
+            key = tb.mix(tb.range_hash(sums, place[own] + low, place[own] + low + LENGTH) + (low + REACH).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            yield pa.RecordBatch.from_arrays([batch.column("context").take(pa.array(own)), pa.array(low.astype(np.int32)), pa.array(key.view(np.int64)), flat.field("own").take(pa.array(line))], ["context", "low", "string", "own"])
+
+    one = rows.select("context", "before", "bytes").join(asked, "context").mapInArrow(strings, "context long, low int, string long, own boolean")
+    twice = one.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
+    return done.unionByName(one.filter("own").join(twice, "string").select("context", "low", (F.col("low") + LENGTH).alias("high")))
+
+
+def _layout(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash sums of the joined bytes; of each context the anchor's place in them, and the least and greatest distance
+    from the anchor at which a string of LENGTH bytes begins."""
+    data = [x.as_buffer() for x in batch.column("bytes")]
+    sizes = np.array([b.size for b in data], np.int64)
+    before = batch.column("before").to_numpy().astype(np.int64)
+    sums = tb.prefix_hash(np.frombuffer(b"".join(data), np.uint8), fold=False)
+    return sums, np.cumsum(sizes) - sizes + before, -before, sizes - LENGTH - before
 
 
 def remove(docs: DataFrame, spark: SparkSession) -> DataFrame:
