@@ -236,12 +236,26 @@ def covered(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame
     few = ready.filter(~hot).select("h", "context", "before", "bytes").repartition("h").sortWithinPartitions("h", "context")
     by_tree = few.mapInArrow(_resolved, "context long, low int, high int")
     by_count = _counted(ready.filter(hot), scratch)
-    cover = whole.unionByName(by_tree).unionByName(by_count)
+    cover = _merged(whole.unionByName(by_tree).unionByName(by_count))
     spans = seen.select("doc_id", "digest", "place", "context").join(cover, "context")
     spans = spans.groupBy("doc_id", "digest").agg(F.collect_set(F.struct((F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))).alias("spans"))
     return spans
 
 
+def _merged(cover: DataFrame) -> DataFrame:
+    """The spans of each context with those that touch made one; a context has a few hundred spans at most."""
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
+        apart = (F.size(done) == 0) | (last["high"] < x["low"])
+        return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider)))
+
+    spans = cover.groupBy("context").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
+    none = F.expr("cast(array() as array<struct<low: int, high: int>>)")
+    return spans.select("context", F.inline(F.aggregate("spans", none, add)))
+
+
 def _one_hash(context, digest, place):
     """Tells occurrences apart; context and digest are hashes already, so their bits may be combined as they are."""
     return context.bitwiseXOR(digest).bitwiseXOR(F.shiftleft(place.cast("long"), 40))
