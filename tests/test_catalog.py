@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,7 +24,7 @@ def plain(v):
         return "-"
     if isinstance(v, pd.Timestamp):
         return str(v).removesuffix(" 00:00:00")
-    return f"{v:.9g}" if isinstance(v, float) else str(v)
+    return f"{float(v):.9g}" if isinstance(v, (float, np.floating)) else str(v)
 
 
 def rows(table: pd.DataFrame) -> list:
