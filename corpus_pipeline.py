@@ -19,6 +19,9 @@ from loquent.llm.scratch import Scratch
 # No single SQL statement expresses the learned, hashed and packed stages; tests compare run() with a plain version.
 ORACLE_SQL = None
 
+#: Documents are near copies if they share at least so many in a hundred of their shingles.
+NEAR_PERCENT = 85
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,9 +40,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter(F.col("__quality") >= quality.CUT).drop("__quality")
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = NEAR_PERCENT) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id; of rows equal in doc_id and text, one."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
     rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
     return rows.select(*_names(docs)).unionByName(docs.filter("doc_id is null"))
 

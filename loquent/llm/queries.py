@@ -20,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, 85)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

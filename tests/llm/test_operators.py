@@ -82,6 +82,19 @@ def test_near_duplicates_of_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == linked_components(sets)
 
 
+def test_near_duplicates_at_80_percent(spark):
+    assert (neardup.banding(85), neardup.banding(80)) == ((36, 7), (46, 6))
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        words = [f"v{k}x{i}" for i in range(int(rng.integers(50, 58)))]
+        rows.append((2 * k, " ".join(words)))
+        words[int(rng.integers(4, len(words) - 4))] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spark, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked_components({d: shingles(t) for d, t in rows}, 80)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
