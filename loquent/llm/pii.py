@@ -37,8 +37,10 @@ PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4
 PERSON = rf"(?<![\p{{L}}])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
 KINDS = {"email": EMAIL, "ip": IP, "secret": SECRET, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
 ALL = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Any text that holds an entity holds one of these; the pattern of all kinds is tried on such texts only.
-_HINT = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|AKIA|(?i:token|passw|secret|api_?key)|(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}"
+#: What a match of each kind holds; the pattern of all kinds is tried on texts with one of these only. A phone number
+#: begins with + and a digit or with three digits.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "secret": r"AKIA|(?i:token|passw|secret|api_?key)", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]{3}", "phone": r"\+[0-9]|[0-9]{3}", "card": r"[0-9](?:[ \-]?[0-9]){12}", "person": rf"(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}"}
+_HINT = "|".join(HINTS.values())
 
 
 def hits(text: Column) -> Column:
