@@ -63,16 +63,12 @@ def merge_marks(words: list[str], before: str = "\"'“¿([{-", after: str = "\"
 
 def common_substring(a: str, b: str) -> str:
     """The longest common substring, the first of several in `a`."""
-    best, at, row = 0, 0, [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        fresh = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                fresh[j] = row[j - 1] + 1
-                if fresh[j] > best:
-                    best, at = fresh[j], i
-        row = fresh
-    return a[at - best : at]
+    best, at = 0, 0
+    for i in range(len(a)):
+        # Only what is longer than the best so far is looked for, so there are at most len(a) + best searches of `b`.
+        while i + best < len(a) and a[i : i + best + 1] in b:
+            best, at = best + 1, i
+    return a[at : at + best]
 
 
 def wrap_cues(words: list[tuple[float, float, str]], width: int = 42, lines: int = 2, pause: float = 3.0) -> list[tuple[float, float, str]]:

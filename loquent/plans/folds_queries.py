@@ -97,8 +97,7 @@ def _(t: Tables):
 
 @query("w10_trim_tail")
 def _(t: Tables):
-    words = F.concat(F.slice(F.split("text", " "), 1, 20), F.array(*map(F.lit, "a b a b a b".split())))
-    return t.conversations.select("conv_id", "turn", D.trim_tail(words).alias("words"))
+    return t.conversations.select("conv_id", "turn", D.trim_tail(F.split("text", " ")).alias("words"))
 
 
 @query("w16_sentences")
@@ -108,7 +107,7 @@ def _(t: Tables):
 
 @query("w18_merge_marks")
 def _(t: Tables):
-    words = F.flatten(F.transform(F.slice(F.split("text", " "), 1, 20), lambda w: F.array(F.concat(F.lit(" "), F.rtrim(w, F.lit("."))), F.when(w.endswith("."), ".").otherwise(" x"))))
+    words = F.flatten(F.transform(F.split("text", " "), lambda w: F.array(F.concat(F.lit(" "), F.rtrim(w, F.lit("."))), F.when(w.endswith("."), ".").otherwise(" x"))))
     return t.conversations.select("conv_id", "turn", D.merge_marks(words).alias("words"))
 
 
@@ -129,16 +128,15 @@ def _(t: Tables):
 
 @query("n9_time_warp")
 def _(t: Tables):
-    e = F.slice("embedding", 1, 12)
-    return t.embeddings.select("vec_id", D.warp(e, F.slice("embedding", 3, 12)).alias("path"))
+    later = F.slice("embedding", F.lit(3), F.greatest(F.size("embedding") - 2, F.lit(0)))
+    return t.embeddings.select("vec_id", D.warp("embedding", later).alias("path"))
 
 
 @query("t23_common_substring")
 def _(t: Tables):
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = t.conversations.withColumn("b", F.substring(before, 1, 60)).withColumn("a", F.substring("text", 1, 60))
-    return rows.select("conv_id", "turn", D.common_substring("a", "b").alias("common"))
+    return t.conversations.withColumn("before", before).select("conv_id", "turn", D.common_substring("text", "before").alias("common"))
 
 
 @query("t19_cue_layout")
