@@ -17,8 +17,8 @@ def timed(t: Tables):
 
 
 def hypotheses(t: Tables):
-    """Each turn is seen in three hypotheses that grow by a third of its words; the last word of a hypothesis is unsure."""
-    words = tokens(t).filter("turn < 2").withColumn("size", F.count("*").over(Window.partitionBy("stream_id")))
+    """Each stream is seen in four hypotheses that grow by a quarter of its words; the last word of all but the whole one is unsure."""
+    words = tokens(t).withColumn("size", F.count("*").over(Window.partitionBy("stream_id")))
     w = words.withColumn("hyp_id", F.explode(F.sequence(F.lit(1), F.lit(4)))).filter(F.col("seq") * 4 < F.col("size") * F.col("hyp_id"))
     wrong = (F.col("hyp_id") < 4) & ((F.col("seq") + 1) * 4 >= F.col("size") * F.col("hyp_id"))
     return w.select("stream_id", F.col("hyp_id").cast("long").alias("hyp_id"), F.col("seq").alias("pos"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.when(wrong, F.concat("text", F.lit("~"))).otherwise(F.col("text")).alias("text"), F.lit(0.5).alias("probability"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from loquent.operators import machines as M
 from loquent.operators import sequences as Q
 from loquent.plans import catalog
 
@@ -70,3 +72,33 @@ def test_time_warp_takes_whole_vectors(spark, sf_dir):
     for k, e in rows.items():
         e = np.asarray(e, float)
         assert [tuple(p) for p in got[k]] == [tuple(p) for p in Q.warp(np.abs(e[:, None] - e[None, 2:])).tolist()], k
+
+
+def agreed(turns, sure=None, mark=lambda pos: 0.5):
+    """The rows of the agreement machine over four hypotheses of each whole conversation."""
+    streams, out = defaultdict(list), []
+    for conv, turn in sorted(turns):
+        for word in turns[conv, turn].split(" "):
+            seq = len(streams[conv])
+            start = seq * 300 + turn * 1500
+            streams[conv].append((seq, start / 1000, (start + 250) / 1000, word))
+    for conv, words in streams.items():
+        machine = M.Agreement(sure)
+        for hyp in range(1, 5):
+            seen = [w for w in words if w[0] * 4 < len(words) * hyp]
+            for seq, start, end, word in seen:
+                wrong = hyp < 4 and (seq + 1) * 4 >= len(words) * hyp
+                out += [(conv, *r) for r in machine.push((hyp, seq, start, end, word + "~" * wrong, mark(seq)))]
+        out += [(conv, *r) for r in machine.close()]
+    return sorted(out)
+
+
+def test_agreement_takes_all_turns(spark, sf_dir, turns):
+    assert max(turn for _, turn in turns) > 1
+    rows = {name: sorted(tuple(r) for r in catalog.queries()[name](spark, sf_dir).collect()) for name in ("s1_local_agreement", "s1_confident_agreement", "s5_end_of_stream")}
+    want = agreed(turns)
+    assert rows["s1_local_agreement"] == want
+    assert rows["s5_end_of_stream"] == [r for r in want if not r[-1]]
+    assert rows["s1_confident_agreement"] == agreed(turns, 0.95, lambda pos: 0.99 if pos % 3 == 0 else 0.5)
+    words = {(conv, pos) for conv, turn in turns for pos in range(sum(len(turns[c, t].split(" ")) for c, t in turns if c == conv))}
+    assert {(r[0], r[2]) for r in want} == words
