@@ -156,6 +156,12 @@ def _(t: Tables):
     return t.events.filter("event_id % 4 <> 2").select("event_id", F.round(F.col("event_id").cast("double") * 7 / 8, 1).alias("r"))
 
 
+@query("n19_round_half_even_two_places", "SELECT event_id, round_even(event_id * 175 / 2, 0) / 100 AS r FROM events")
+def _(t: Tables):
+    # event_id * 7 / 8, scaled by 100 so that every tie is exact; ties go to the even neighbour as in Python.
+    return t.events.select("event_id", (F.bround(F.col("event_id") * 175 / 2, 0) / 100).alias("r"))
+
+
 @query("o1_json_round_trip", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t: Tables):
     return t.events.select("event_id", F.from_json(F.to_json(F.from_json("props", "k long")), "k long")["k"].alias("k"))
