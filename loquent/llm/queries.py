@@ -43,7 +43,7 @@ def tokenizer() -> str:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark).path("token-files")
     tokenfile.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer(), out)
-    return tokenfile.read(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfile.read(spark, out, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,11 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64) if len(freq) else freq.astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+        #: From a state of so much on, words are written before an id is coded.
+        self.limit = ((LOW >> np.uint64(SCALE)) << np.uint64(32)) * self.freq
+        #: The place of each id in the table, or -1.
+        self.place = np.full(int(self.ids.max(initial=0)) + 2, -1, np.int32)
+        self.place[self.ids] = np.arange(len(self.ids))
 
 
 def encode(table: Table, ids: np.ndarray) -> bytes:
@@ -48,22 +53,23 @@ def encode(table: Table, ids: np.ndarray) -> bytes:
     n = len(ids)
     lanes = max(1, min(LANES, n // 64))
     steps = -(-n // lanes)
-    symbol = np.searchsorted(table.ids, ids)
-    if n and (symbol.max(initial=0) >= len(table.ids) or (table.ids[symbol] != ids).any()):
+    symbol = table.place[np.minimum(ids, len(table.place) - 1)]
+    if (symbol < 0).any():
         raise ValueError("an id is not in the frequency table")
     state = np.full(lanes, LOW, np.uint64)
     stream, points, written = [], [], 0
     for t in range(steps - 1, -1, -1):
         s = symbol[t * lanes : (t + 1) * lanes]
         x, f = state[: len(s)], table.freq[s]
-        out = x >= (((LOW >> np.uint64(SCALE)) << np.uint64(32)) * f)
-        if out.any():
-            words = (x[out] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            stream.append(words)
-            written += len(words)
-            x[out] >>= np.uint64(32)
+        out = np.flatnonzero(x >= table.limit[s])
+        if len(out):
+            high = x[out]
+            stream.append(high.astype(np.uint32))
+            written += len(out)
+            x[out] = high >> np.uint64(32)
         q = x // f
-        state[: len(s)] = (q << np.uint64(SCALE)) + (x - q * f) + table.start[s]
+        x += q * (np.uint64(1 << SCALE) - f)
+        x += table.start[s]
         if t % CHECK_STEPS == 0:
             points.append((written, state.copy()))
     body = np.concatenate(stream[::-1]).tobytes() if stream else b""

@@ -5,7 +5,7 @@ documents that begin and end in the block, `block` the coded ids; a second folde
 blocks share. Blocks are decoded independently of each other.
 
 Defined results: a null text counts as empty; every document ends with the id 0, so an empty one has that id alone;
-repeated doc_ids are separate documents that stand next to each other, by text; a null doc_id comes first; an
+repeated doc_ids are separate documents that stand next to each other, by a checksum of their ids; a null doc_id comes first; an
 empty table gives files without blocks.
 """
 
@@ -29,78 +29,91 @@ BLOCK = 1 << 18
 _BLOCKS = "part int, seq int, doc_ids array<long>, lengths array<long>, block binary"
 
 
-def _rows(part: int, seq: int, docs: list, lengths: list[int], raw: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([raw], pa.binary())],
-        ["part", "seq", "doc_ids", "lengths", "block"],
-    )
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, tie, n and ids of every text, and after the rows of each task one row with how often each id occurs there.
 
+    Ids have 16 bits where the vocabulary allows that, which is less to move than the text; tie orders equal doc_ids.
+    """
+    names = ["doc_id", "tie", "n", "ids", "counts"]
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """Blocks of plain ids (32-bit little-endian). Tasks hold ranges of doc_id, in order."""
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, short=True)
+        total = np.zeros(enc.size, np.int64)
+        for batch in tb.slices(batches):
+            ids = enc.ids(batch.column("text").to_pylist())
+            total += np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=enc.size)
+            n = np.array([len(x) for x in ids]) // enc.kind.itemsize
+            tie = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tie, pa.array(n), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([b""]), pa.array([total.tobytes()])], names)
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, tie long, n long, ids binary, counts binary")
+
+
+def frequencies(ids: DataFrame) -> DataFrame:
+    """id and n over all texts: the counts of all tasks, summed. As many rows as ids occur, at most the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column("counts"):
+                total = np.frombuffer(raw.as_buffer(), np.int64) + (total if len(total) else 0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    return ids.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _coded(ids: DataFrame, shared) -> DataFrame:
+    """Coded blocks. Tasks hold ranges of doc_id (and tie), in order."""
+    ordered = ids.filter("counts is null").select("doc_id", "tie", "n", "ids").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc = encoder(path)
         docs, lengths, raw, size = [], [], [], 0
-        for batch in tb.slices(batches):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
-                n = len(ids) // 4
+
+        def block() -> pa.RecordBatch:
+            kind = np.dtype("<u2" if len(raw[0]) == 2 * lengths[0] else "<u4")
+            coded = rans.encode(shared.value, np.frombuffer(b"".join(raw), kind))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([coded], pa.binary())],
+                ["part", "seq", "doc_ids", "lengths", "block"],
+            )
+
+        for batch in batches:
+            for doc, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
                 if docs and size + n > BLOCK:
-                    yield _rows(part, seq, docs, lengths, b"".join(raw))
+                    yield block()
                     docs, lengths, raw, size, seq = [], [], [], 0, seq + 1
                 docs.append(doc)
                 lengths.append(n)
-                raw.append(ids)
+                raw.append(ids.as_buffer())
                 size += n
         if docs:
-            yield _rows(part, seq, docs, lengths, b"".join(raw))
+            yield block()
 
     return ordered.mapInArrow(run, _BLOCKS)
 
 
-def frequencies(blocks: DataFrame) -> DataFrame:
-    """id and n over all blocks: counted in each task, then summed. As many rows as ids occur, at most the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column("block"):
-                own = np.bincount(np.frombuffer(raw.as_buffer(), np.uint32))
-                if len(own) > len(total):
-                    total, own = own, total
-                total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    return blocks.select("block").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def _table(spark: SparkSession, path: str) -> rans.Table:
     got = spark.read.schema("id long, n long").parquet(path).orderBy("id").toPandas()  # at most the vocabulary
     return rans.Table(got["id"].to_numpy(), got["n"].to_numpy())
 
 
 def write(docs: DataFrame, spark: SparkSession, path: str, out: str) -> None:
-    """Tokenise `docs` with the tokenizers file `path` and write the coded files to the folder `out`."""
+    """Tokenise `docs` with the tokenizers file `path` and write the coded files to the folder `out`.
+
+    Texts are tokenised where they are read; what is shuffled is their ids.
+    """
     scratch = Scratch(spark)
-    plain = scratch.table(tokenised(docs, path), "ids")
-    frequencies(plain).coalesce(1).write.parquet(f"{out}/frequencies")
+    ids = scratch.table(tokenised(docs, path), "ids")
+    frequencies(ids).coalesce(1).write.parquet(f"{out}/frequencies")
     shared = spark.sparkContext.broadcast(_table(spark, f"{out}/frequencies"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                coded = rans.encode(shared.value, np.frombuffer(one.column("block")[0].as_buffer(), np.uint32))
-                yield pa.RecordBatch.from_arrays([*(one.column(k) for k in range(4)), pa.array([coded], pa.binary())], one.schema.names)
-
-    with _small_batches(spark):
-        plain.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
-    scratch.drop(plain)
+    _coded(ids, shared).write.option("compression", "none").parquet(f"{out}/blocks")
+    scratch.drop(ids)
 
 
 class _small_batches:
@@ -117,8 +130,9 @@ class _small_batches:
         self.conf.set(self.key, self.before)
 
 
-def read(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start (ids before it), n_tokens, ids (32-bit little-endian) of each document, from the files at `out`."""
+def read(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (32-bit little-endian) of each document,
+    from the files at `out`."""
     shared = spark.sparkContext.broadcast(_table(spark, f"{out}/frequencies"))
     blocks = spark.read.schema(_BLOCKS).parquet(f"{out}/blocks")
     # Ids before each block: sums of the parts, then within a part. A row for each block, and no ids.
@@ -132,13 +146,15 @@ def read(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                ids = rans.decode(shared.value, one.column("block")[0].as_buffer()).tobytes()
+                raw = memoryview(rans.decode(shared.value, one.column("block")[0].as_buffer()).tobytes())
                 docs, lengths = one.column("doc_ids")[0].values, one.column("lengths")[0].values.to_numpy()
                 ends = np.cumsum(lengths)
-                raws = [ids[(e - n) * 4 : e * 4] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                crc = pa.array([zlib.crc32(r) for r in raws], pa.int64())
+                raws = [raw[(e - n) * 4 : e * 4] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 many = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([one.column("part")[0].as_py()] * many, pa.int32()), pa.array([one.column("seq")[0].as_py()] * many, pa.int32()), docs, pa.array(ends - lengths), pa.array(lengths), crc, pa.array(raws, pa.binary())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array(np.full(many, one.column(k)[0].as_py(), np.int32)) for k in range(2)] + [docs, pa.array(ends - lengths), pa.array(lengths), pa.array([zlib.crc32(r) for r in raws], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary())] if ids else columns, names)
 
-    rows = blocks.mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long, ids binary")
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("begin") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    names = ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"][: 7 if ids else 6]
+    schema = "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
+    rows = blocks.mapInArrow(run, schema).join(starts, ["part", "seq"])
+    return rows.select("doc_id", (F.col("begin") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))

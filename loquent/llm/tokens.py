@@ -7,99 +7,144 @@ Texts with white space next to white space are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces remembered by a worker; then it starts anew, which bounds memory.
 CACHE = 1_000_000
+#: New pieces that are encoded as one text.
+JOINED = 256
 _double = re.compile(r"\s\s")
-_space = re.compile(r"\s")
-#: Marks after a letter or digit up to the end of a piece are a piece of their own.
-_marked = re.compile(r"(.*[^\W_])([.,;:!?*%$&#]+)", re.S)
+#: Marks after letters up to the end of a word are a piece of their own.
+MARKS = ".,;:!?*%$&#"
+#: Letters up to here are letters in every version of Unicode that libraries may have.
+_late = re.compile(r"[^\x00-\u052f]")
+_other_space = re.compile(r"[^\S\n ]")
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers, with `end` appended."""
+    """ids(texts) gives each text's ids as bytes of little-endian unsigned integers, with `end` appended.
 
-    def __init__(self, path: str, end: int = 0):
+    They have 32 bits, or with `short` 16 if the vocabulary allows that (`kind`). A piece is known by the word after a
+    space, or by a line break and the word after it.
+    """
+
+    def __init__(self, path: str, end: int = 0, short: bool = False):
+        # Spark deals out the work; threads inside a task would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.uint32(end).tobytes()
+        self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if short and self.size <= 1 << 16 else "<u4")
+        self.end = np.array(end, self.kind).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self._plain(["\n"])[0]
-        self.size = self.tokenizer.get_vocab_size()
+        self.single = len(self.line) == self.kind.itemsize
+        # Where letters are a piece of their own, which the model takes as one character a byte.
+        cut = str(self.tokenizer.pre_tokenizer)
+        self.plain = self.tokenizer.normalizer is None and cut.startswith("ByteLevel(") and "add_prefix_space=False" in cut and "use_regex=True" in cut
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        self.byte = dict(zip([b for b in range(256) if b not in set(shown)], range(256, 512), strict=False))
+        self.space = chr(self.byte.pop(32))
+        self.byte.pop(10)
         self._reset()
 
     def _reset(self) -> None:
+        self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {"": b""}
-        self.tails: dict[str, bytes] = {"": self._plain([" "])[0]}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        """Encode new pieces, many in one call with a line break between two."""
-        marked = [m.groups() for m in map(_marked.fullmatch, words) if m]
-        new = words.difference([a + b for a, b in marked])
-        new.update([a for a, _ in marked if a not in cache])
-        alone = [w for w in new if _space.search(w)]
-        if added := [w for w in new if any(t in w for t in self.added)]:
-            alone = list({*alone, *added})
-        if alone:
-            cache.update(zip(alone, self._plain([before + w for w in alone]), strict=True))
-        new = list(new.difference(alone))
-        line = np.frombuffer(self.line, np.uint32)[0]
-        groups = [new[at : at + 64] for at in range(0, len(new), 64)]
-        joined = ("\n" + before).join
-        for at in range(0, len(groups), 32):
-            for part, found in zip(groups[at : at + 32], self.tokenizer.encode_batch_fast([before + joined(g) for g in groups[at : at + 32]], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
-                cuts = np.flatnonzero(ids == line).tolist()
-                if len(cuts) != len(part) - 1 or len(self.line) != 4:
-                    cache.update(zip(part, self._plain([before + w for w in part]), strict=True))
-                    continue
-                raw, begin = ids.tobytes(), 0
-                for w, end in zip(part, [*cuts, len(ids)], strict=True):
-                    cache[w] = raw[begin * 4 : end * 4]
-                    begin = end + 1
-        if marked:
-            marks = {b for _, b in marked}.difference(self.marks)
-            self.marks.update(zip(marks, self._plain(list(marks)), strict=True))
-            for a, b in marked:
-                cache[a + b] = cache[a] + self.marks[b]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str], before: str) -> None:
+        """Learn words that stand after `before`, many in one call with a line break between two."""
+        known, after = self.known, "\n" if not before else ""
+        line, step = int(np.frombuffer(self.line, self.kind)[0]), self.kind.itemsize
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        lead = self.line if after else b""
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([before + ("\n" + before).join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            cuts = np.flatnonzero(ids == line).tolist()
+            if len(cuts) != len(group) - 1:
+                known.update(zip([after + w for w in group], [lead + x for x in self._plain([before + w for w in group])], strict=True))
+                continue
+            raw, begin = ids.tobytes(), 0
+            cuts.append(len(ids))
+            for w, cut in zip(group, cuts, strict=True):
+                known[after + w] = lead + raw[begin * step : cut * step]
+                begin = cut + 1
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Remember new pieces. Those that hold other white space, or may end or begin with it, are given back instead."""
+        known, odd = self.known, {}
+        joined = " ".join(new)
+        rare = {w for w in new if _other_space.search(w) or any(t in w for t in self.added)} if _other_space.search(joined) or any(t in joined for t in self.added) else set()
+        rare.update(new.intersection(("", "\n")))
+        if rare:
+            new.difference_update(rare)
+            rare = list(rare)
+            alone = self._plain([w[1:] if w[:1] == "\n" else " " + w for w in rare])
+            odd = {w: self.line + x if w[:1] == "\n" else x for w, x in zip(rare, alone, strict=True)}
+        rest, late = new, bool(_late.search(joined))
+        if self.plain:
+            rest, stems, marked = [], set(), []
+            for w in new:
+                stem = w.rstrip(MARKS)
+                letters = stem[1:] if stem[:1] == "\n" else stem
+                if letters.isalpha() and not (late and _late.search(letters)):
+                    if stem not in known:
+                        stems.add(stem)
+                    if len(stem) < len(w):
+                        marked.append((w, stem, w[len(stem) :]))
+                else:
+                    rest.append(w)
+            self._letters(list(stems))
+            runs = list({m for _, _, m in marked}.difference(self.marks))
+            self.marks.update(zip(runs, self._plain(runs), strict=True))
+            known.update([(w, known[stem] + self.marks[m]) for w, stem, m in marked])
+        self._encode([w for w in rest if w[0] != "\n"], " ")
+        self._encode([w[1:] for w in rest if w[0] == "\n"], "")
+        return odd
+
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of letters alone, each of which is one piece to the model."""
+        known, model, kind = self.known, self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        heads, tails = [w for w in words if w[0] == "\n"], [w for w in words if w[0] != "\n"]
+        for own, before, lead in ((heads, "", self.line), (tails, self.space, b"")):
+            written = "".join([w[1:] + "\n" if lead else w + "\n" for w in own]).encode().decode("latin-1").translate(self.byte).split("\n")
+            known.update([(w, lead + array(kind, [t.id for t in model(before + x)]).tobytes()) for w, x in zip(own, written, strict=False)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.heads) + len(self.tails) > CACHE:
+        if len(self.known) > CACHE:
             self._reset()
-        split = [None if _double.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        heads, tails = set(), set()
-        for lines in split:
-            for line in lines or ():
-                heads.add(line[0])
-                tails.update(line[1:])
-        self._learn(self.heads, heads.difference(self.heads), "")
-        self._learn(self.tails, tails.difference(self.tails), " ")
-        whole = iter(self._plain([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        head, tail, out = self.heads, self.tails.__getitem__, []
-        for lines in split:
-            if lines is None:
-                out.append(next(whole) + self.end)
-                continue
-            parts: list[bytes] = []
-            for line in lines:
-                parts.append(self.line)
-                parts.append(head[line[0]])
-                parts.extend(map(tail, line[1:]))
-            parts.append(self.end)
-            out.append(b"".join(parts[1:]))
+        known, at, skip = self.known, self.known.__getitem__, len(self.line)
+        out: list[bytes | None] = []
+        later: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        for t in texts:
+            words = f"\n{t}".replace("\n", " \n")[1:].split(" ")
+            try:
+                out.append(b"".join(map(at, words))[skip:] + self.end)
+            except KeyError:
+                if not self.single or _double.search(t):
+                    out.append(self._plain([t])[0] + self.end)
+                else:
+                    later.append((len(out), words))
+                    new.update(set(words).difference(known))
+                    out.append(None)
+        if later:
+            odd = self._learn(new)
+            for k, words in later:
+                out[k] = b"".join([known[w] if w in known else odd[w] for w in words] if odd else map(at, words))[skip:] + self.end
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end: int = 0) -> Encoder:
+def encoder(path: str, end: int = 0, short: bool = False) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(path, end)
+    return Encoder(path, end, short)
