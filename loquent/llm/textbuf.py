@@ -53,7 +53,7 @@ def powers(n: int, base: int) -> np.ndarray:
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and the offset of each row with the end after them."""
     column = column.fill_null("") if column.null_count else column
-    column = column if pa.types.is_large_string(column.type) else column.cast(pa.large_string())
+    column = column if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1 + column.offset)[column.offset :] if n else np.zeros(1, np.int64)
     data = column.buffers()[2] if n else None
@@ -81,6 +81,11 @@ def prefix_hash(raw: np.ndarray, fold: bool = True) -> np.ndarray:
     return sums
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Multiplied with these, differences of prefix sums do not depend on where they stand."""
+    return powers(n, _INVERSE)
+
+
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges [start, end): equal bytes (after case folding, if chosen) give equal hashes anywhere."""
     return mix((sums[ends] - sums[starts]) * powers(len(sums), _INVERSE)[starts] + (ends - starts).astype(np.uint64) * _GOLD)
