@@ -12,6 +12,14 @@ from pyspark.sql.types import DataType, StructField, StructType
 from loquent.llm import textbuf as tb
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores after it as long as `docs` has a column of that name (case does not count)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_text_column(docs: DataFrame, name: str, kind: DataType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """`docs` with the column `name`, in batches of bounded size and without a shuffle. A column of that name is replaced."""
     kept = [f for f in docs.schema.fields if f.name != name]

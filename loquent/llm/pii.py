@@ -1,14 +1,21 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
-Entities are found by one pattern a kind. Each gets a surrogate of its kind from a keyed digest of kind and value:
-digits stay digits and letters letters of the same script and case, separators and lengths stay, card numbers keep
-their check digit rule as it was, addresses stay in reserved ranges, and a name after a title becomes a name of the
-same gender and script. The same value gets the same surrogate everywhere (coreference). Over all distinct values of
-the corpus, surrogates that meet each other or a value that occurs are found, and those values get another one, until
-none meet (distinctness).
-
-Defined results: a null text stays null; text without entities is unchanged; repeated rows get repeated results;
-entities are found from left to right and do not overlap.
+Entities are found by one pattern a kind. Spellings of one entity share a key: case of addresses, separators of numbers,
+and title and dot of a person do not count. A person is keyed by given name and by family name apart, an address by
+domain and as a whole, so "Mr. John Smith" and "Mrs Smith" keep a common family name and colleagues a common domain. Each
+key gets a surrogate of its kind from a keyed digest: digits stay digits and letters letters of the same script and case,
+separators and lengths stay, phone numbers keep their country code, cards their check digit rule and bank accounts their
+remainder modulo 97 as they were, hosts stay in reserved ranges and domains end in a reserved name, and a given name
+becomes one of the same gender and script. Each spelling is filled with its key's surrogate. Over all distinct keys of
+the corpus, surrogates that meet each other or a key that occurs are found, and those keys get another one, until none
+meet (distinctness); after LONGER attempts surrogates get longer, so that they never run out.
+
+Persons are found by their title only, and families' names are put together from syllables: of the kinds, this one is
+the roughest.
+
+Defined results: a null text stays null; text without entities is unchanged; repeated rows get repeated results; entities
+are found from left to right and do not overlap; a column of the input that has the new column's name is kept, and the
+new one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -16,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loquent.llm.columns import free_name
 from loquent.llm.scratch import Scratch
 
+#: From this attempt on, surrogates are longer than what they stand for.
+LONGER = 6
+
 # Titles and given names by gender and script, and the patterns of the kinds.
 TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"}
 NAMES = {
@@ -26,26 +37,40 @@ NAMES = {
     ("m", "cyrillic"): "Алексей Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Любовь".split(),
 }
-SURNAMES = {"latin": "Albers Berger Castell Dorner Ebert Falk Garner Holm Ibsen Jansen Keller Lorenz Morell Norden Olsen Perrin Quint Renner Sander Torres".split(), "cyrillic": "Азаров Белов Волгин Громов Дроздов Ершов Зимин Ильин Котов Ладов".split()}
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
+FAMILY = {
+    "latin": ("Al Ber Cas Dor Eb Fal Gar Hol Ib Jan Kel Lor Mor Nor Ol Per Quin Ren San Tor".split(), "ban den fer gel ker lan men nor per ras sel ten ver win zan".split(), "berg dorf feld hart ley man mont ner sen ton".split()),
+    "cyrillic": ("Аз Бел Вол Гром Дроз Ер Зим Ил Кот Лад".split(), "ар ен ин ол ор ус".split(), "ов ев ин".split()),
+}
+# Calling codes of one and of two digits; the others have three.
+CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/.]{8,}"
+SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[TtPpSsAa])(?i:(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/.]{8,}"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
-PERSON = rf"(?<![\p{{L}}])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
+PERSON = rf"(?<![\p{{L}}])(?=[MHSFГ])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
 KINDS = {"email": EMAIL, "ip": IP, "secret": SECRET, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
 ALL = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What a match of each kind holds; the pattern of all kinds is tried on texts with one of these only. A phone number
-#: begins with + and a digit or with three digits.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "secret": r"AKIA|(?i:token|passw|secret|api_?key)", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]{3}", "phone": r"\+[0-9]|[0-9]{3}", "card": r"[0-9](?:[ \-]?[0-9]){12}", "person": rf"(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}"}
-_HINT = "|".join(HINTS.values())
+#: What a match of each kind holds; the pattern of all kinds is tried on texts with one of these only. A look ahead at one
+#: character spares the rest of a pattern at most places.
+HINTS = {
+    "email": "@", "ip": r"(?=[0-9])[0-9]\.[0-9]", "iban": "(?=[A-Z])[A-Z]{2}[0-9]{2}", "ssn": "(?=[0-9])[0-9]{3}", "phone": r"(?=[0-9+])(?:\+[0-9]|[0-9]{3})",
+    "card": r"(?=[0-9])[0-9](?:[ \-]?[0-9]){12}", "secret": r"AKIA|(?=[TtPpSsAa])(?i:token|passw|secret|api_?key)", "person": rf"(?=[MHSFГ])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}",
+}
+_NUMBERS = r"(?=[0-9+A-Z])(?:[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[ \-]?[0-9]){12}|[A-Z]{2}[0-9]{2}|AKIA)"
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity: by single characters first, which are cheap to look for."""
+    secret = (text.contains("=") | text.contains(":")) & text.rlike(HINTS["secret"])
+    return F.coalesce(text.contains("@") | text.rlike(_NUMBERS) | secret | text.rlike(HINTS["person"]), F.lit(False))
 
 
 def hits(text: Column) -> Column:
     """All entities of a text, from left to right."""
-    return F.when(F.coalesce(text.rlike(_HINT), F.lit(False)), F.regexp_extract_all(text, F.lit(ALL), 0)).otherwise(F.array().cast("array<string>"))
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(ALL), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def kind(value: Column) -> Column:
@@ -56,23 +81,26 @@ def kind(value: Column) -> Column:
 
 
 def norm(kind: Column, value: Column) -> Column:
-    """What makes two spellings the same entity: case of addresses and separators of numbers do not count."""
+    """The key of an entity: what is the same for all its spellings."""
     plain = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone", "ssn", "iban"), plain).otherwise(value)
+    out = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "iban"), plain)
+    return out.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), plain)).otherwise(value)
 
 
 def _number(digest: Column, at: int, size: int = 4) -> Column:
     return F.conv(F.substring(digest, at, size), 16, 10).cast("long")
 
 
+def _chars(value: Column) -> Column:
+    return F.split(value, "")
+
+
 def _shaped(value: Column, digest: Column, keep: Column) -> Column:
-    """Digits and letters of `value` replaced by others of the same class, apart from its first `keep` characters."""
+    """Letters and digits of `value` replaced by others of the same class, apart from its first `keep` characters."""
     hexa = F.substring_index(F.regexp_replace(value, r"[\"'\s]", "="), "=", -1).rlike(r"\A[0-9a-f]+\z")
 
     def swap(c: Column, i: Column) -> Column:
-        # The place among letters and digits, so that separators do not change what comes out.
-        place = F.length(F.regexp_replace(value.substr(F.lit(1), i), r"[^0-9A-Za-z]", ""))
-        own = F.conv(F.substring(F.md5(F.concat(digest, place.cast("string"))), 1, 6), 16, 10).cast("long")
+        own = F.conv(F.substring(F.md5(F.concat(digest, i.cast("string"))), 1, 6), 16, 10).cast("long")
 
         def pick(letters: str) -> Column:
             return F.lit(letters).substr((own % len(letters) + 1).cast("int"), F.lit(1))
@@ -80,102 +108,158 @@ def _shaped(value: Column, digest: Column, keep: Column) -> Column:
         swapped = F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-f]") & hexa, pick("abcdef")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
         return F.when(i < keep, c).otherwise(swapped.when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c))
 
-    return F.array_join(F.transform(F.split(value, ""), swap), "")
+    return F.array_join(F.transform(_chars(value), swap), "")
 
 
 def _check_sum(digits: Column) -> Column:
     """Sum of the check digit rule modulo 10, for a string of digits."""
-    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
+    each = F.transform(_chars(F.reverse(digits)), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).when(c.try_cast("int") > 4, c.try_cast("int") * 2 - 9).otherwise(c.try_cast("int") * 2))
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
-def digest(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """Keyed: the key stands before and after, so a digest tells nothing without it."""
-    return F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm(kind, value), attempt.cast("string"), F.lit(key)), 256)
+def _remainder(account: Column) -> Column:
+    """A bank account's number modulo 97, its first four characters last and letters as 10 to 35."""
+    moved = F.concat(account.substr(F.lit(5), F.length(account)), F.substring(account, 1, 4))
 
+    def add(a: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).when(c == "", a).otherwise((a * 100 + letter) % 97)
 
-def surrogate(kind: Column, value: Column, attempt: Column, digest: Column) -> Column:
-    """The replacement of one value."""
-    email = F.concat(F.lit("u"), F.substring(digest, 1, 14), F.lit("@mail.invalid"))
-    ip = F.concat_ws(".", F.lit("10"), *((_number(digest, 1 + 4 * k) % 256).cast("string") for k in range(3)))
-    secret = F.length(value) - F.length(F.regexp_extract(value, r"(?:AKIA)?([A-Za-z0-9_\-+/.]+)\z", 1))
-    country = F.length(F.regexp_extract(value, r"\A(\+[0-9]{1,3})", 1))
-    shaped = _shaped(value, digest, F.when(kind == "secret", secret).when(kind == "iban", 2).when(kind == "phone", country).when(kind == "card", 1).otherwise(0))
-    # A card number stays as valid, or as wrong, by its check digit as it was.
-    gap = _check_sum(F.regexp_replace(value, "[^0-9]", "")) - _check_sum(F.regexp_replace(shaped, "[^0-9]", ""))
-    card = F.concat(shaped.substr(F.lit(1), F.length(shaped) - 1), ((F.substring(shaped, -1, 1).cast("int") + 10 + gap) % 10).cast("string"))
-    title = F.regexp_extract(value, rf"\A(?:{TITLES['m']}|{TITLES['f']})\.?", 0)
-    male, cyrillic = value.rlike(rf"\A(?:{TITLES['m']})\.? "), value.rlike(r"\p{IsCyrillic}\S*\z")
+    return F.aggregate(_chars(moved), F.lit(0), add)
 
-    def pick(values: list[str], at: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), (_number(digest, at, 6) % len(values) + 1).cast("int"))
 
-    given = F.when(male & cyrillic, pick(NAMES["m", "cyrillic"], 1)).when(male, pick(NAMES["m", "latin"], 1)).when(cyrillic, pick(NAMES["f", "cyrillic"], 1)).otherwise(pick(NAMES["f", "latin"], 1))
-    family = F.when(cyrillic, F.concat(pick(SURNAMES["cyrillic"], 9), F.when(male, "").otherwise("а"))).otherwise(pick(SURNAMES["latin"], 9))
-    # Later attempts make a double name, so that names never run out.
-    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.translate(F.substring(digest, 20, 8), "0123456789", "ghijklmnop")))).otherwise("")
-    person = F.concat(title, F.lit(" "), F.when(F.size(F.split(value, " ")) > 2, F.concat(given, F.lit(" "), family)).otherwise(family), more)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "person", person).otherwise(shaped)
+def digest(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """Keyed: the key stands before and after, so a digest tells nothing without it."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string"), F.lit(key)), 256)
 
 
-def attempts(found: DataFrame, key: str, scratch: Scratch, most: int = 20) -> DataFrame:
-    """kind, norm and attempt (> 0) of the values whose first surrogate met another one or a value that occurs.
+def _pick(values: list[str], digest: Column, at: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (_number(digest, at, 6) % len(values) + 1).cast("int"))
 
-    One row for each distinct value of the corpus; copies are taken together before the shuffle.
-    """
-    value = F.col("value")
-    rows = found.select(F.explode("__hits").alias("value")).groupBy("value").agg(F.lit(0).alias("attempt")).withColumn("kind", kind(value))
-    rows = rows.groupBy("kind", norm(F.col("kind"), value).alias("norm")).agg(F.min("value").alias("value"))
-    rows = scratch.table(rows.withColumn("attempt", F.lit(0)), "values")
-    for _ in range(most):
-        made = rows.withColumn("digest", digest(key, F.col("kind"), value, F.col("attempt")))
-        made = made.withColumn("made", norm(F.col("kind"), surrogate(F.col("kind"), value, F.col("attempt"), F.col("digest")))).select("kind", "norm", "value", "attempt", "made")
-        real = rows.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
-        first = Window.partitionBy("kind", "made").orderBy("attempt", "norm")
-        checked = scratch.table(made.join(real, ["kind", "made"], "left").withColumn("again", (F.row_number().over(first) > 1) | F.col("real").isNotNull()), "checked")
+
+def surrogate(kind: Column, value: Column, attempt: Column, digest: Column) -> Column:
+    """The surrogate of a key. That of an address keeps the domain, which has a key of its own."""
+    later = attempt > 0
+    local = F.substring_index(value, "@", 1)
+    local = F.concat(_shaped(local, digest, F.lit(0)), F.when(later, F.substring(digest, 1, 6)).otherwise(""))
+    email = F.concat(local, F.lit("@"), F.substring_index(value, "@", -1))
+    labels = F.regexp_replace(value, r"\.[^.]*\z", "")
+    domain = F.concat(_shaped(labels, digest, F.lit(0)), F.when(later, F.substring(digest, 1, 6)).otherwise(""), F.lit(".example"))
+    parts = [_number(digest, 1 + 4 * k) % 256 for k in range(3)]
+    first = F.when(later, (_number(digest, 13) % 15 + 240).cast("string")).otherwise("10")
+    ip = F.concat_ws(".", first, *(x.cast("string") for x in parts))
+    ip = F.when(attempt < LONGER, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *(F.substring(digest, 1 + 4 * k, 4) for k in range(6))))
+    secret = F.length(value) - F.length(F.regexp_extract(value, r"(?:AKIA)?([A-Za-z0-9_\-+/.]+)\z", 1))
+    country = F.length(F.regexp_extract(value, rf"\A(\+(?:{CODES}))", 1))
+    shaped = _shaped(value, digest, F.when(kind == "secret", secret).when(kind == "iban", 2).when(kind == "phone", country).when(kind == "card", 1).otherwise(0))
+    # A card number stays as valid, or as wrong, by its check digit as it was; a bank account by its remainder.
+    gap = _check_sum(value) - _check_sum(shaped)
+    card = F.concat(shaped.substr(F.lit(1), F.length(shaped) - 1), ((F.substring(shaped, -1, 1).try_cast("int") + 10 + gap) % 10).cast("string"))
+    body = shaped.substr(F.lit(5), F.length(shaped))
+    check = (_remainder(value) - _remainder(F.concat(F.substring(shaped, 1, 2), F.lit("00"), body)) + 97) % 97
+    iban = F.concat(F.substring(shaped, 1, 2), F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), body)
+    longer = F.when(attempt < LONGER, "").otherwise(F.conv(F.substring(digest, 40, 12), 16, 10))
+    cyrillic = value.rlike(r"\p{IsCyrillic}")
+    # Later attempts make a double given name, and family names of more syllables.
+    second = F.when(later, F.concat(F.lit("-"), F.initcap(F.translate(F.substring(digest, 20, 8), "0123456789", "ghijklmnop")))).otherwise("")
+    given = F.lit(None).cast("string")
+    for gender in ("m", "f"):
+        for script, own in (("cyrillic", cyrillic), ("latin", ~cyrillic)):
+            given = F.when((kind == f"given {gender}") & own, _pick(NAMES[gender, script], digest, 1)).otherwise(given)
+
+    def built(script: str) -> Column:
+        begin, middle, end = FAMILY[script]
+        more = F.when(later, _pick(middle, digest, 19)).otherwise("")
+        return F.concat(_pick(begin, digest, 1), _pick(middle, digest, 7), more, F.when(attempt >= LONGER, _pick(middle, digest, 25)).otherwise(""), _pick(end, digest, 13))
+
+    family = F.when(cyrillic, built("cyrillic")).otherwise(built("latin"))
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "family", family).when(kind.startswith("given"), F.concat(given, second))
+    return out.when(kind == "card", F.concat(card, longer)).when(kind == "iban", F.concat(iban, longer)).otherwise(F.concat(shaped, longer))
+
+
+def _spelled(value: Column, made: Column) -> Column:
+    """The letters and digits of `made` in the places of those of `value`; what is left over comes last."""
+    plain = F.regexp_replace(made, r"[^0-9A-Za-z]", "")
+
+    def fill(c: Column, i: Column) -> Column:
+        place = F.length(F.regexp_replace(value.substr(F.lit(1), i), r"[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("[0-9A-Za-z]"), plain.substr(place + 1, F.lit(1))).otherwise(c)
+
+    size = F.length(F.regexp_replace(value, r"[^0-9A-Za-z]", ""))
+    return F.concat(F.array_join(F.transform(_chars(value), fill), ""), plain.substr(size + 1, F.length(plain)))
+
+
+def made(keys: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """kind, norm and made of all keys (kind, norm): surrogates of which no two meet each other or a key that occurs."""
+    rows = scratch.table(keys.withColumn("attempt", F.lit(0)), "keys")
+    order = Window.partitionBy("kind", "met").orderBy("attempt", "norm")
+    while True:
+        tried = rows.withColumn("digest", digest(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        tried = tried.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("digest"))).drop("digest").withColumn("met", F.lower("made"))
+        real = rows.select("kind", F.lower("norm").alias("met"), F.lit(True).alias("real")).distinct()
+        checked = tried.join(real, ["kind", "met"], "left").withColumn("again", (F.row_number().over(order) > 1) | F.col("real").isNotNull())
+        checked = scratch.table(checked.select("kind", "norm", "attempt", "made", "again"), "checked")
         if not checked.filter("again").head(1):
             scratch.drop(rows)
-            return checked.filter("attempt > 0").select("kind", "norm", "attempt")
-        following = scratch.table(checked.select("kind", "norm", "value", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "values")
+            return checked.select("kind", "norm", "made")
+        following = scratch.table(checked.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "keys")
         scratch.drop(rows, checked)
         rows = following
-    raise RuntimeError(f"surrogates still meet after {most} attempts")
+
+
+def surrogates(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """value, kind and surrogate of each distinct value."""
+    value = F.col("value")
+    titles = f"{TITLES['m']}|{TITLES['f']}"
+    names = F.split(F.regexp_replace(value, rf"\A(?:{titles})\.? ", ""), " ")
+    person = F.when(F.col("kind") == "person", names)
+    male, cyrillic = value.rlike(rf"\A(?:{TITLES['m']})\.? "), F.element_at(person, -1).rlike(r"\p{IsCyrillic}")
+    female_end = (~male) & cyrillic & F.element_at(person, -1).endswith("а")
+    family = F.lower(F.element_at(person, -1))
+    values = values.withColumn("kind", kind(value)).withColumns(
+        {
+            "norm": norm(F.col("kind"), value),
+            "domain": F.when(F.col("kind") == "email", F.lower(F.substring_index(value, "@", -1))),
+            "family": F.when(female_end, family.substr(F.lit(1), F.length(family) - 1)).otherwise(family),
+            "given": F.when(F.size(person) > 1, F.lower(person[0])),
+            "gender": F.when(F.col("kind") == "person", F.when(male, "given m").otherwise("given f")),
+            "ending": F.when(cyrillic & ~male, "а").otherwise(""),
+            "title": F.regexp_extract(value, rf"\A(?:{titles})\.?(?= )", 0),
+        }
+    )
+    values = scratch.table(values, "values")
+    parts = {"domain": F.lit("domain"), "family": F.lit("family"), "given": F.col("gender")}
+    keys = values.filter("kind <> 'person'").select("kind", "norm")
+    for column, of in parts.items():
+        keys = keys.unionByName(values.filter(f"{column} is not null").select(of.alias("kind"), F.col(column).alias("norm")))
+    table = made(keys.distinct(), key, scratch)
+    out = values.join(table, ["kind", "norm"], "left")
+    for column, of in parts.items():
+        own = table.select(F.col("kind").alias("__kind"), F.col("norm").alias("__norm"), F.col("made").alias(f"{column}_made"))
+        out = out.join(own, (of == F.col("__kind")) & (F.col(column) == F.col("__norm")), "left").drop("__kind", "__norm")
+    whole = F.concat_ws(" ", "title", "given_made", F.concat("family_made", "ending"))
+    address = F.concat(F.substring_index("made", "@", 1), F.lit("@"), F.col("domain_made"))
+    text = F.when(F.col("kind") == "person", whole).when(F.col("kind") == "email", address).when(F.col("kind").isin("ip", "secret"), F.col("made")).otherwise(_spelled(value, F.col("made")))
+    return out.select("value", "kind", text.alias("surrogate"))
 
 
 def redact(docs: DataFrame, spark: SparkSession, key: str, name: str = "entities") -> DataFrame:
     """The documents' columns with surrogates in `text`, and `name`: kind and surrogate of each, in order.
 
-    Rows without entities are neither shuffled nor joined.
+    Texts are searched once; rows without entities are neither shuffled nor joined.
     """
     scratch = Scratch(spark)
-    found = docs.withColumn("__hits", hits(F.col("text")))
-    again = attempts(found, key, scratch)
-    some, none = found.filter(F.size("__hits") > 0), found.filter(F.size("__hits") == 0)
-    some = some.withColumn("__key", F.md5(F.to_json("__hits")))
-    # Values with another attempt, by the list of entities they stand in.
-    lists = some.select("__key", F.explode(F.array_distinct("__hits")).alias("value")).withColumn("kind", kind(F.col("value"))).withColumn("norm", norm(F.col("kind"), F.col("value")))
-    lists = lists.select("__key", "kind", "norm").distinct().join(again, ["kind", "norm"])
-    lists = lists.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("__again"))
-    some = some.join(lists, "__key", "left")
-
-    def placed(v: Column) -> Column:
-        return F.struct(v.alias("value"), kind(v).alias("kind"))
-
-    def tried(e: Column) -> Column:
-        at = F.coalesce(F.col("__again")[F.concat_ws(":", e["kind"], norm(e["kind"], e["value"]))], F.lit(0))
-        return F.struct(e["value"].alias("value"), e["kind"].alias("kind"), at.alias("attempt"))
-
-    def digested(e: Column) -> Column:
-        return F.struct(*(e[x].alias(x) for x in ("value", "kind", "attempt")), digest(key, e["kind"], e["value"], e["attempt"]).alias("digest"))
-
-    def made(e: Column) -> Column:
-        return F.struct(e["kind"].alias("kind"), surrogate(e["kind"], e["value"], e["attempt"], e["digest"]).alias("surrogate"))
-
-    entities = F.col("__hits")
-    for step in (placed, tried, digested, made):
-        entities = F.transform(entities, step)
-    some = some.withColumn(name, entities)
-    text = F.array_join(F.zip_with(F.split("text", ALL, -1), F.col(f"{name}.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    some = some.withColumn("text", text).drop("__key", "__again", "__hits")
-    none = none.withColumn(name, F.expr("cast(array() as array<struct<kind: string, surrogate: string>>)")).drop("__hits")
-    return some.unionByName(none, allowMissingColumns=False)
+    name, row, own = (free_name(docs, x) for x in (name, "__row", "__hits"))
+    found = scratch.table(docs.withColumn(own, hits(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "found")
+    some, none = found.filter(F.size(own) > 0), found.filter(F.size(own) == 0)
+    mentions = some.select(F.col(row).alias("row"), F.posexplode(own).alias("pos", "value"))
+    table = surrogates(mentions.select("value").distinct(), key, scratch)
+    # A value may stand in very many texts: the join's large keys are split when it runs.
+    lists = mentions.join(table, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "surrogate"))).alias("list"))
+    lists = lists.select(F.col("row").alias(row), F.transform("list", lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate"))).alias(name))
+    some = some.join(lists, row)
+    text = F.array_join(F.zip_with(F.split("text", ALL, -1), F.col(f"`{name}`.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    some = some.withColumn("text", text)
+    none = none.withColumn(name, F.expr("cast(array() as array<struct<kind: string, surrogate: string>>)"))
+    columns = [F.col(f"`{c}`") for c in (*docs.columns, name)]
+    return some.select(*columns).unionByName(none.select(*columns))
