@@ -56,7 +56,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for d, x in texts.items()}
 
 
@@ -166,6 +165,42 @@ def test_surrogates(spark):
     assert redacted(spark, rows, "other")[1][8].text != text[8]
 
 
+def test_surrogates_of_spellings(spark):
+    rows = [
+        "call +49 30 1234 5678 or +49301234 5678 or +353 12 34 5678", "Mr. John Smith and Mr. Smith and Mr Smith and Mrs. Smith", "Г-н Иванов и Г-жа Иванова", "GB82 WEST 1234 5698 7654 32 is GB82WEST12345698765432 but GB83 WEST 1234 5698 7654 32 is wrong",
+        "a.b@shop.example.de and c-d@Shop.example.de", "10.0.0.1 and 10.0.0.2", 'api_key = "0123abcd4567ef89"',
+    ]
+    _, got = redacted(spark, rows)
+    made = {d: [e.surrogate for e in r.entities] for d, r in got.items()}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    assert made[0][0][:4] == "+49 " and made[0][2][:5] == "+353 " and digits(made[0][0]) == digits(made[0][1]) != "493012345678"
+    assert [re.sub("[0-9]", "0", s) for s in made[0][:2]] == ["+00 00 0000 0000", "+00000000 0000"]
+    family = [s.split()[-1] for s in made[1]]
+    assert len(set(family)) == 1 and family[0] != "Smith" and [s.split()[0] for s in made[1]] == ["Mr.", "Mr.", "Mr", "Mrs."]
+    assert made[2][1].split()[1] == made[2][0].split()[1] + "а"
+    moved = lambda s: s.replace(" ", "")[4:] + s[:4]
+    account = lambda s: int("".join(str(int(c, 36)) for c in moved(s))) % 97
+    assert account(made[3][0]) == 1 and made[3][0].replace(" ", "") == made[3][1] and made[3][0][:2] == "GB" and account(made[3][2]) == account("GB83 WEST 1234 5698 7654 32") != 1
+    one, two = (s.split("@") for s in made[4])
+    assert one[1] == two[1] and one[1].endswith(".example") and one[0] != two[0] and re.fullmatch(r"[a-z]\.[a-z]", one[0]) and re.fullmatch("[a-z]-[a-z]", two[0])
+    assert len({*made[5], "10.0.0.1", "10.0.0.2"}) == 4
+    assert re.fullmatch(r'api_key = "[0-9a-f]{16}', made[6][0]) or re.fullmatch(r'api_key = "[0-9a-z]{16}', made[6][0])
+
+
+def test_surrogates_never_run_out(spark):
+    rows = [f"host 10.0.{i // 250}.{i % 250} mail a@x{i % 3}.de z{i}@b.c" for i in range(1500)] + [f"{c}@q.de" for c in "abcdefghijklmnopqrstuvwxyz"]
+    _, got = redacted(spark, rows)
+    pairs = {(v, e.surrogate) for d, r in got.items() for v, e in zip(re.findall(r"[0-9.]{8,}|\S+@\S+", rows[d]), r.entities)}
+    assert len(pairs) == len({v for v, _ in pairs}) == len({s for _, s in pairs}) and not {v for v, _ in pairs} & {s for _, s in pairs}
+
+
+def test_new_column_leaves_the_old_one(spark):
+    out = pii.redact(spark.createDataFrame([(1, "x@y.de", "mine")], "doc_id long, text string, entities string"), spark, "k")
+    assert out.columns == ["doc_id", "text", "entities", "entities_"]
+    row = out.first()
+    assert row.entities == "mine" and row.entities_[0].kind == "email" and "x@y.de" not in row.text
+
+
 #: Texts whose only entity is of the kind, with no run of three digits where the kind allows that.
 LONE = {
     "email": ["to a.b@c.de now"],
@@ -219,12 +254,47 @@ def test_rans_segments_and_damage():
     block = rans.encode(table, ids)
     assert (rans.decode(table, block) == ids).all() and len(block) < ids.nbytes / 2
     assert len(rans.decode(table, rans.encode(table, ids[:0]))) == 0
+    step = rans.LANES * rans.CHECK_STEPS
+    for first, last in ((0, 1), (1, 2), (1, 4), (3, 4)):
+        assert (rans.decode(table, block, first, last) == ids[first * step : last * step]).all()
+    with pytest.raises(ValueError):
+        rans.encode(table, np.array([123_456], np.uint32))
     broken = bytearray(block)
     broken[len(block) // 2] ^= 1
     with pytest.raises(Exception):
         rans.decode(table, bytes(broken))
 
 
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    from loquent.llm.tokens import Encoder
+
+    rng = np.random.default_rng(8)
+    parts = [*"ab'sé.,!?-_ \n\t 12½²́ 東x", "  ", "\n ", "don't", "'ll", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(5000)]
+    library = Tokenizer.from_file(queries.tokenizer())
+    wide, short = Encoder(queries.tokenizer()), Encoder(queries.tokenizer(), short=True)
+    assert (wide.kind, short.kind) == ("<u4", "<u2")
+    for t, a, b in zip(texts, wide.ids(texts), short.ids(texts)):
+        want = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(a, wide.kind).tolist() == np.frombuffer(b, short.kind).tolist() == want, t
+
+
+def test_token_files_of_repeated_and_missing_ids(spark):
+    rows = [(None, "no id"), (3, "b c"), (3, "a"), (3, "a"), (1, None), (2, "word " * 300_000)]
+    out = Scratch(spark).path("files")
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), spark, queries.tokenizer(), out)
+    got = tokenfile.read(spark, out).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 3]
+    at, whole = 0, encoded(dict(enumerate(t for _, t in rows)))
+    for r in got:
+        assert r.start == at and zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
+        at += r.n_tokens
+    assert sorted(bytes(r.ids) for r in got) == sorted(x.tobytes() for x in whole.values())
+    assert "ids" not in tokenfile.read(spark, out, ids=False).columns
+
+
 def check_packing(rows, ids, size=2048):
     seen, room = defaultdict(dict), defaultdict(list)
     for r in rows:
@@ -367,7 +437,9 @@ def test_repeats_equal_brute_force(run, texts):
     assert got == want
 
 
-def test_repeats_in_hot_groups(spark):
+@pytest.mark.parametrize("hot", [3, 20, repeats.HOT])
+def test_repeats_in_hot_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = np.random.default_rng(4)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
     shared = " ".join(word() for _ in range(40))
