@@ -41,9 +41,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = NEAR_PERCENT) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; of rows equal in doc_id and text, one."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    """One document of each group of near copies, that of the smallest doc_id; of rows equal in doc_id and text, one.
+
+    Rows without a doc_id stay, as they can stand for no group.
+    """
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark, percent).filter("kept and doc_id is not null").select("doc_id", F.col("text_digest").alias("__text")).distinct()
+    rows = docs.filter("doc_id is not null").withColumn("__text", F.xxhash64("text")).join(kept, ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"])
     return rows.select(*_names(docs)).unionByName(docs.filter("doc_id is null"))
 
 

@@ -29,6 +29,8 @@ THRESHOLD = 0.2
 PART = 2
 #: Candidates reranked exactly for each query and block of vectors; blocks of vectors and of queries.
 RERANK, VECTORS, QUERIES = 64, 4096, 1024
+#: Table sums that differ by less tie; and pairs whose exact products are made at once.
+TIE, EXACT = 1e-5, 1 << 17
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -146,13 +148,18 @@ def search(index: DataFrame, model: dict, ids: np.ndarray, queries: np.ndarray,
                 for m in range(codes.shape[1]):
                     found += tables[:, m][:, codes[:, m]]
                 found[own[None] == ids[:, None]] = -np.inf
-                many = min(RERANK, len(own))
-                top = np.argpartition(-found, many - 1, axis=1)[:, :many]
-                exact = np.einsum("qkd,qd->qk", x[top], queries) / (norms[:, None] * np.linalg.norm(x, axis=1)[top])
-                rows = pd.DataFrame({"query_id": np.repeat(ids, many), "vec_id": own[top].ravel(), "score": exact.ravel()})
-                rows = rows[rows.query_id != rows.vec_id]
-                best = rows if best is None else pd.concat([best, rows])
-                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                many, long_ = min(RERANK, len(own)), np.linalg.norm(x, axis=1)
+                # All that come as near as the last of the best, so that no tie is cut; some queries at a time.
+                least = -np.partition(-found, many - 1, axis=1)[:, many - 1] - TIE
+                near = (found >= least[:, None]) & np.isfinite(found)
+                group = np.cumsum(near.sum(1)) // EXACT
+                for first, last in zip(*(np.searchsorted(group, np.unique(group), side) for side in ("left", "right")), strict=True):
+                    q, v = np.nonzero(near[first:last])
+                    q += first
+                    exact = np.einsum("pd,pd->p", x[v], queries[q]) / (norms[q] * long_[v])
+                    rows = pd.DataFrame({"query_id": ids[q], "vec_id": own[v], "score": exact})
+                    best = rows if best is None else pd.concat([best, rows])
+                    best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 

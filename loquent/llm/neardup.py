@@ -12,7 +12,8 @@ under the same bounds, on full shingle sets. So no link between different texts
 all emitted. Equal sets are one class from the start. Components are found by star contraction.
 
 Defined results: null and wordless texts have no shingles, and are linked with nothing; ties are settled by doc_id;
-repeated rows belong to one component, as equal texts do; an empty table gives an empty result.
+repeated rows belong to one component, as equal texts do; a row without doc_id links others, but its id is no component
+(a component of such rows alone has none), and is kept if its component has no id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def bands(signature: np.ndarray, many: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the shingle set) and the band keys of each document."""
+    """doc_id, text_digest, n_shingles, node (a digest of the shingle set) and the band keys of each document."""
     many, slots = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +90,9 @@ def signed(docs: DataFrame, percent: int) -> DataFrame:
                 nodes.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 keys.append(bands(superminhash(shingles, many * slots), many, slots) if len(shingles) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], ["doc_id", "n_shingles", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_digest"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], ["doc_id", "text_digest", "n_shingles", "node", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_digest"), "text").mapInArrow(run, "doc_id long, text_digest long, n_shingles long, node binary, keys array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,11 +116,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id is that) of each row of docs."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that) and text_digest of each row."""
     scratch = Scratch(spark)
     rows = scratch.table(signed(docs, percent), "signed")
     # One row a class of equal sets: partial aggregation takes copies together before the shuffle.
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.coalesce(F.min_by("text_digest", "doc_id"), F.min("text_digest")).alias("text_digest"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.table(classes, "classes")
     member = classes.select(F.explode("keys").alias("bucket"), "node", "n")
     shared = member.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1").select("bucket")
@@ -127,8 +128,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) ->
 
     # Texts are shuffled once, for one row of each class that has a candidate.
     need = member.select("node").distinct()
-    texts = rows.select("node", "doc_id").join(classes.join(need, "node", "left_semi").select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"]).select("doc_id", "node")
-    with_text = docs.filter("text is not null").select("doc_id", "text").join(texts, "doc_id")
+    texts = classes.join(need, "node", "left_semi").select("node", "id", "text_digest")
+    with_text = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    with_text = with_text.join(texts, (F.col("digest") == F.col("text_digest")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = scratch.table(_checked(with_text).dropDuplicates(["node"]), "sets")
 
     # What a class shares with no other candidate bounds its similarity to any of them; see _may_link.
@@ -177,9 +179,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) ->
     of_class = classes.select("node", "id").join(labels.withColumnRenamed("to", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = of_class.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = rows.select("doc_id", "n_shingles", "node", "text_digest").join(of_class, "node", "left")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return scratch.finish(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_digest").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_digest"))
 
 
 def _own(sets: DataFrame) -> DataFrame:

@@ -1,7 +1,24 @@
-"""SQL of the queries that SQL can express and that whole tables allow."""
+"""SQL of the queries that SQL can express and that whole tables allow.
+
+Near-duplicates follow from their rule alone: sets of shingles, pairs that share enough of them, smallest reachable id. The
+other nine are learned, keyed, coded, packed or approximate; tests compare them with brute force, round trips or planted
+cases.
+"""
 
 from __future__ import annotations
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+')"
+
+NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM b JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT DISTINCT u AS doc_id, u AS root FROM both_ways UNION SELECT v, root FROM r JOIN both_ways ON u = doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_duplicates": NEAR_DUPLICATES}

@@ -31,7 +31,7 @@ SIZE = 2048
 LARGE = 16
 GROUPS = 64
 #: Pieces of one length are ranked in shares of about so many rows.
-SHARE = 200_000
+SHARE = 1000
 
 
 def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 600) -> list[tuple[tuple[int, ...], float]]:
@@ -250,13 +250,14 @@ def pack(docs: DataFrame, spark: SparkSession, path: str, size: int = SIZE) -> D
             at[n] = at.get(n, 0) + many * copies
             offset += n * many
         sequence += copies
-    # Sorted arrays by length of where ranks of that length go. Patterns come from counts by length: bounded by `size`.
+    # Sorted arrays by length of where ranks of that length go. A row for each length of a pattern: patterns come from
+    # counts by length, so the table does not grow with the pieces once all lengths occur.
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
 
     # Rank of a piece among those of its length: shares of a length are ranked apart, then shifted by the shares before.
-    shares = F.greatest(F.lit(1), F.ceil(F.lit(max(counts.values(), default=1)) / F.lit(SHARE))).cast("int")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), shares))
+    shares = spark.createDataFrame([(n, -(-c // SHARE)) for n, c in counts.items()], "length long, shares long")  # at most `size` rows
+    salted = cut.join(F.broadcast(shares), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), "shares")).drop("shares")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
@@ -274,4 +275,4 @@ def pack(docs: DataFrame, spark: SparkSession, path: str, size: int = SIZE) -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(row[:, 3] + inner // row[:, 2]), pa.array(row[:, 4] + inner % row[:, 2] * length)], [*names, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return scratch.finish(ranked.select(*columns, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

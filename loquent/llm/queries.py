@@ -20,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, 85)
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, 85).drop("text_digest")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.train(docs, labels.filter(~quality.held_out()))
-    return quality.score(docs, model, spark).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+    return quality.score(docs, model, spark).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

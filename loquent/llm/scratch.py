@@ -33,6 +33,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result of the call, written; all other tables of it are removed."""
+        path, jvm = f"{self.root}-result", self.spark._jvm
+        df.write.option("compression", "zstd").parquet(path)
+        if jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(self.root)):
+            self.remove(self.root)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             if path := getattr(table, "_scratch_path", None):

@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces remembered by a worker; then it starts anew, which bounds memory.
-CACHE = 1_000_000
+#: Pieces remembered by a worker: those of late, and as many of before that may be needed again. That bounds memory.
+CACHE = 600_000
 #: New pieces that are encoded as one text.
 JOINED = 256
 _double = re.compile(r"\s\s")
@@ -52,10 +52,8 @@ class Encoder:
         self.byte = dict(zip([b for b in range(256) if b not in set(shown)], range(256, 512), strict=False))
         self.space = chr(self.byte.pop(32))
         self.byte.pop(10)
-        self._reset()
-
-    def _reset(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +79,11 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Remember new pieces. Those that hold other white space, or may end or begin with it, are given back instead."""
-        known, odd = self.known, {}
+        known, before, odd = self.known, self.before, {}
+        if before:
+            again = new.intersection(before)
+            known.update([(w, before[w]) for w in again])
+            new.difference_update(again)
         joined = " ".join(new)
         rare = {w for w in new if _other_space.search(w) or any(t in w for t in self.added)} if _other_space.search(joined) or any(t in joined for t in self.added) else set()
         rare.update(new.intersection(("", "\n")))
@@ -121,7 +123,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self._reset()
+            self.known, self.before, self.marks = {}, self.known, {}
         known, at, skip = self.known, self.known.__getitem__, len(self.line)
         out: list[bytes | None] = []
         later: list[tuple[int, list[str]]] = []
