@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import re
 import unicodedata
 import zlib
 
@@ -14,8 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from loquent.functions.numbers import number_words
+
 # Letters that do not come apart by NFKD.
 LETTERS = {"œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "ẞ": "SS", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "th", "ł": "l", "Ł": "L"}
+_LETTERS = str.maketrans(LETTERS)
 # Fillers and contractions, in the order in which they apply.
 FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
 CONTRACTIONS = (
@@ -27,49 +29,41 @@ CONTRACTIONS = (
     (r"'d been\b", " had been"), (r"'s been\b", " has been"), (r"'d gone\b", " had gone"), (r"'s gone\b", " has gone"), (r"'d done\b", " had done"), (r"'s got\b", " has got"),
     (r"n't\b", " not"), (r"'re\b", " are"), (r"'s\b", " is"), (r"'d\b", " would"), (r"'ll\b", " will"), (r"'t\b", " not"), (r"'ve\b", " have"), (r"'m\b", " am"),
 )
-# Number words.
-ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {"oh": 0}
-TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-SCALES = {w: 1000**i for i, w in enumerate("thousand million billion trillion quadrillion quintillion".split(), 1)}
-ORDINALS = {"zeroth": "zero", "first": "one", "second": "two", "third": "three", "fifth": "five", "eighth": "eight", "ninth": "nine", "twelfth": "twelve"}
-SIGNS = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}
-MONEY = {"pound": "£", "pounds": "£", "euro": "€", "euros": "€", "dollar": "$", "dollars": "$", "cent": "¢", "cents": "¢"}
-
-
-def _bare(text: str, form: str, keep: str, marks_go: bool) -> str:
-    out = []
-    for c in unicodedata.normalize(form, text):
-        kind = unicodedata.category(c)
-        if c in keep:
-            out.append(c)
-        elif marks_go and c in LETTERS:
-            out.append(LETTERS[c])
-        elif marks_go and kind == "Mn":
-            continue
-        else:
-            out.append(" " if kind[0] in "MSP" else c)
-    return "".join(out)
-
-
 def _each(texts: pd.Series, f) -> pd.Series:
     return texts.map(lambda t: None if t is None else f(t))
 
 
 @F.pandas_udf(StringType())
-def without_symbols(texts: pd.Series) -> pd.Series:
-    """NFKC; marks, symbols and punctuation become spaces."""
-    return _each(texts, lambda t: _bare(t, "NFKC", "", False))
+def _composed(texts: pd.Series) -> pd.Series:
+    return _each(texts, lambda t: unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(StringType())
-def without_diacritics(texts: pd.Series) -> pd.Series:
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return _each(texts, lambda t: unicodedata.normalize("NFKD", t).translate(_LETTERS))
+
+
+def _spaced(text: Column, keep: str = "") -> Column:
+    """Marks, symbols and punctuation but those of `keep` as spaces."""
+    return F.regexp_replace(text, r"[\p{M}\p{S}\p{P}" + (f"&&[^{keep}]" if keep else "") + "]", " ")
+
+
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def without_symbols(text: Column | str) -> Column:
+    """NFKC; marks, symbols and punctuation become spaces."""
+    return _spaced(_composed(_column(text)))
+
+
+def without_diacritics(text: Column | str) -> Column:
     """NFKD without diacritics; other marks, symbols and punctuation become spaces."""
-    return _each(texts, lambda t: _bare(t, "NFKD", "", True))
+    return _spaced(F.regexp_replace(_decomposed(_column(text)), r"\p{Mn}", ""))
 
 
-@F.pandas_udf(StringType())
-def _english_bare(texts: pd.Series) -> pd.Series:
-    return _each(texts, lambda t: _bare(t, "NFKD", ".%$¢€£", True))
+def _english_bare(text: Column) -> Column:
+    return _spaced(F.regexp_replace(_decomposed(text), r"\p{Mn}", ""), ".%$¢€£")
 
 
 def _brackets(text: Column) -> Column:
@@ -103,84 +97,6 @@ def english(text: Column) -> Column:
     return F.regexp_replace(out, r"\s+", " ")
 
 
-def _small(words: list[str], at: int) -> tuple[int, int, str]:
-    """Value of the number words from `at`, where they end, and the ending (st, nd, rd, th, s or none)."""
-    total = part = 0
-    level, k, ending, last = None, at, "", None
-    while k < len(words):
-        word, this = words[k], ""
-        if word in ORDINALS:
-            word, this = ORDINALS[word], "th"
-        elif word.endswith("ieth") and word[:-4] + "y" in TENS:
-            word, this = word[:-4] + "y", "th"
-        elif word.endswith("th") and (word[:-2] in ONES or word[:-2] in SCALES or word[:-2] == "hundred"):
-            word, this = word[:-2], "th"
-        elif word.endswith("ies") and word[:-3] + "y" in TENS:
-            word, this = word[:-3] + "y", "s"
-        if word in ONES and level in (None, "tens", "hundred", "scale") and not (level == "tens" and not 0 < ONES[word] < 10):
-            part, level = part + ONES[word], "ones"
-        elif word in TENS and level in (None, "hundred", "scale"):
-            part, level = part + TENS[word], "tens"
-        elif word == "hundred" and level in ("ones", "tens") and part < 100:
-            part, level = part * 100, "hundred"
-        elif word in SCALES and (part or total) and (last is None or SCALES[word] < last):
-            total, part, last, level = total + part * SCALES[word], 0, SCALES[word], "scale"
-        elif word == "and" and level in ("hundred", "scale") and k + 1 < len(words) and (words[k + 1] in ONES or words[k + 1] in TENS):
-            k += 1
-            continue
-        else:
-            break
-        k += 1
-        if this:
-            ending = this
-            break
-    value = total + part
-    if ending == "th":
-        ending = "th" if value // 10 % 10 == 1 else {1: "st", 2: "nd", 3: "rd"}.get(value % 10, "th")
-    return value, k, ending
-
-
-def number_words(text: str) -> str:
-    """Number words as digits, with sign, money, percent, decimals and endings."""
-    text = re.sub(r"\band a half\b", "point five", text)
-    words, out, k = text.split(), [], 0
-    while k < len(words):
-        sign = ""
-        at = k
-        if words[k] in SIGNS and k + 1 < len(words):
-            sign, at = SIGNS[words[k]], k + 1
-        if words[at] in ("double", "triple") and at + 1 < len(words) and words[at + 1] in ONES:
-            out.append(sign + str(ONES[words[at + 1]]) * (2 if words[at] == "double" else 3))
-            k = at + 2
-            continue
-        value, end, ending = _small(words, at)
-        if end == at:
-            digits = re.fullmatch(r"[0-9]+(\.[0-9]+)?", words[at])
-            if not digits or (at + 1 < len(words) and words[at + 1] not in SCALES and words[at + 1] not in MONEY and words[at + 1] != "percent") or at + 1 >= len(words):
-                out.append(words[k])
-                k += 1
-                continue
-            number, end = words[at], at + 1
-            while end < len(words) and words[end] in SCALES:
-                number, end = f"{float(number) * SCALES[words[end]]:g}" if "." in number else str(int(number) * SCALES[words[end]]), end + 1
-        else:
-            number = str(value)
-            if end + 1 < len(words) and words[end] == "point" and words[end + 1] in ONES and not ending:
-                end += 1
-                number += "."
-                while end < len(words) and words[end] in ONES and ONES[words[end]] < 10:
-                    number, end = number + str(ONES[words[end]]), end + 1
-        if end < len(words) and words[end] == "percent":
-            ending, end = "%", end + 1
-        elif end < len(words) and words[end] in MONEY and not ending:
-            sign, end = MONEY[words[end]] + sign, end + 1
-        out.append(sign + number + ending)
-        k = end
-    # Cents after a whole amount: $2 and ¢7 are $2.07.
-    joined = re.sub(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b", lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", " ".join(out))
-    return re.sub(r"[€£$]0\.([0-9]{1,2})\b", lambda m: f"¢{int(m[1])}", joined)
-
-
 @F.pandas_udf(StringType())
 def numbers(texts: pd.Series) -> pd.Series:
     return _each(texts, number_words)

@@ -38,9 +38,15 @@ def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine:
     return df.select(key, *dict.fromkeys([*order, *inputs])).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} {kind}, {outputs}")
 
 
-def agree(hypotheses: DataFrame, sure: float | None = None) -> DataFrame:
-    """stream_id and the committed tokens; with `agreed` false, what was left at the end."""
-    return fold(hypotheses, "stream_id", ["hyp_id", "pos"], ["hyp_id", "pos", "start", "end", "text", "probability"], lambda: M.Agreement(sure), "hyp_id long, pos long, start double, end double, text string, probability double, agreed boolean")
+def agree(hypotheses: DataFrame, sure: float | None = None, policy: str = "pad") -> DataFrame:
+    """stream_id and the committed tokens; with `agreed` false, what was left at the end (S1, S5). Rows without text are
+    silences from start to end, taken by `policy` (S27)."""
+    return fold(hypotheses, "stream_id", ["hyp_id", "pos"], ["hyp_id", "pos", "start", "end", "text", "probability"], lambda: M.Agreement(sure, policy), "hyp_id long, pos long, start double, end double, text string, probability double, agreed boolean")
+
+
+def trimmed(rows: DataFrame, limit: float, way: str = "sentence") -> DataFrame:
+    """stream_id, iteration, where its buffer is cut, how many committed tokens are forgotten, and why."""
+    return fold(rows, "stream_id", ["iteration", "seq", "kind"], ["iteration", "kind", "at", "text"], lambda: M.Trim(limit, way), "iteration long, cut double, forgotten long, reason string")
 
 
 def voice_activity(frames: DataFrame, **settings: float) -> DataFrame:

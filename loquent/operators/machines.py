@@ -12,10 +12,12 @@ from dataclasses import dataclass, field
 class Agreement:
     """Commits what two hypotheses in a row agree on (S1), dropping what was committed before.
 
-    Rows: (hyp, pos, start, end, text, probability). A hypothesis is complete when the next one begins or on close.
+    Rows: (hyp, pos, start, end, text, probability). A hypothesis is complete when the next one begins or on close. A row
+    without text is a silence after its hypothesis.
     """
 
     sure: float | None = None
+    policy: str = "pad"
     keep: int = 200
     committed: list = field(default_factory=list)
     pending: list = field(default_factory=list)
@@ -26,10 +28,14 @@ class Agreement:
     def push(self, row: tuple) -> list:
         out = self._flush() if self.hyp is not None and row[0] != self.hyp else []
         self.hyp = row[0]
+        if row[4] is None:
+            return out + self._flush() + self.silence(row[3] - row[2], self.policy)
         self.new.append(row)
         return out
 
     def _flush(self) -> list:
+        if not self.new:
+            return []
         fresh = [t for t in self.new if t[2] > self.last - 0.1]
         if fresh and self.committed and abs(fresh[0][2] - self.last) < 1:
             for n in range(1, min(5, len(fresh), len(self.committed)) + 1):
@@ -68,6 +74,87 @@ class Agreement:
         return self._flush() + [(*t, False) for t in self.pending]
 
 
+@dataclass
+class Trim:
+    """Where the buffer of a stream is cut after an iteration (S3). Rows: (iteration, kind, at, text); of an iteration
+    committed tokens, ends of segments, and last how far the audio goes ("token", "segment", "upto").
+
+    A buffer over `limit` seconds is cut at the end of the last sentence but one, or of the last committed segment, else at
+    the last committed token, and without any in its middle. Committed tokens that end by then are forgotten (S2). Nothing
+    is committed for `limit` seconds: the buffer begins anew.
+    """
+
+    limit: float = 15.0
+    way: str = "sentence"
+    offset: float = 0.0
+    output: float = 0.0
+    tokens: list = field(default_factory=list)
+    ends: list = field(default_factory=list)
+    fresh: bool = False
+
+    def push(self, row: tuple) -> list:
+        iteration, kind, at, text = row
+        if kind == "token":
+            self.tokens.append((at, text))
+            self.output, self.fresh = at, True
+            return []
+        if kind == "segment":
+            self.ends.append(at)
+            return []
+        cut, reason = self._cut(at)
+        self.ends, self.fresh = [], False
+        if cut is None:
+            return []
+        before = len(self.tokens)
+        self.tokens = [] if reason == "anew" else [t for t in self.tokens if t[0] > cut]
+        self.offset = cut
+        return [(iteration, cut, before - len(self.tokens), reason)]
+
+    def _cut(self, upto: float) -> tuple[float | None, str]:
+        size = upto - self.offset
+        if not self.fresh and size > self.limit and upto - self.output > self.limit:
+            return upto, "anew"
+        by_sentence = self.way == "sentence" and self.fresh and size > self.limit
+        if not by_sentence and size <= (30.0 if self.way == "sentence" else self.limit):
+            return None, ""
+        if not self.tokens:
+            return self.offset + size / 2, "half"
+        last = self.tokens[-1][0]
+        if by_sentence:
+            marks = [at for at, text in self.tokens if text.rstrip().endswith((".", "!", "?"))]
+            # What stands after the last mark counts as a sentence.
+            done = marks if marks and marks[-1] < last else marks[:-1]
+            if done:
+                return done[-1], "sentence"
+        else:
+            done = [e for e in self.ends[:-1] if e <= last]
+            if done:
+                return done[-1], "segment"
+        return last, "committed"
+
+    def close(self) -> list:
+        return []
+
+
+@dataclass
+class Recent:
+    """The newest segments of at most `most` together, one at least (S6). Rows: (seq, size). Gives how many there are and
+    how much was removed before them."""
+
+    most: int
+    kept: list = field(default_factory=list)
+    removed: int = 0
+
+    def push(self, row: tuple) -> list:
+        self.kept.append(row[1])
+        while len(self.kept) > 1 and sum(self.kept) > self.most:
+            self.removed += self.kept.pop(0)
+        return [(row[0], len(self.kept), self.removed)]
+
+    def close(self) -> list:
+        return []
+
+
 @dataclass
 class VoiceActivity:
     """Starts at `high`, ends below `low` after `quiet` samples, both padded (S8). Rows: (sample, probability)."""
@@ -159,7 +246,7 @@ class Restarts:
 class Lines:
     """Lines by speaker (W7): a change takes effect at punctuation or silence; else the token stays with its line.
 
-    Rows: (seq, start, end, text, speaker). A token is decided when `ahead` tokens after it are known.
+    Rows: (seq, start, end, text, speaker).
     """
 
     sep: str = " "

@@ -6,7 +6,7 @@ import importlib
 
 from loquent.plans import registry
 
-MODULES = ("relational", "aggregates", "functions", "intervals", "text", "folds", "streams", "extras")
+MODULES = ("relational", "aggregates", "functions", "intervals", "text", "folds", "transcript", "streams", "files", "extras")
 
 
 def _load() -> None:

@@ -1,4 +1,4 @@
-"""Streams run to their end over the test tables; results equal those of the batch forms."""
+"""Streams run to their end over the test tables; tests compare stateful ones with the batch folds."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from loquent.plans.registry import Tables, query
 from loquent.streaming import streams as S
 
 
-def _work(t: Tables) -> str:
+def work_folder(t: Tables) -> str:
     """A folder that all executors share, as in the checkpoint setting; our own only where it is unset."""
     found = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -28,7 +28,7 @@ def _events(t: Tables) -> DataFrame:
 
 def _kept(t: Tables, df: DataFrame, mode: str) -> DataFrame:
     """The last complete result of a stream of bounded size."""
-    out = _work(t)
+    out = work_folder(t)
     S.run_all(df, f"{out}/checkpoint", lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows"), mode)
     return t.spark.read.parquet(f"{out}/rows")
 
@@ -46,7 +46,7 @@ def _(t: Tables):
 @query("s8_streamed_voice_activity")
 def _(t: Tables):
     frames = _events(t).select(F.col("user_id").alias("stream_id"), (F.col("event_id") * 512).alias("sample"), (F.col("value") / 50).alias("prob"))
-    out = _work(t)
+    out = work_folder(t)
     S.run_all(S.stateful(frames, "stream_id", ["sample"], ["sample", "prob"], lambda: M.VoiceActivity(quiet=2048), "event string, sample long"), f"{out}/checkpoint", f"{out}/rows")
     return t.spark.read.parquet(f"{out}/rows")
 
@@ -54,14 +54,14 @@ def _(t: Tables):
 @query("s13_streamed_breaker")
 def _(t: Tables):
     calls = _events(t).select(F.col("user_id").alias("service"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
-    out = _work(t)
+    out = work_folder(t)
     S.run_all(S.stateful(calls, "service", ["at", "id"], ["at", "ok"], lambda: M.Breaker(failures=3, rest=86400.0), "at double, state string, passed boolean"), f"{out}/checkpoint", f"{out}/rows")
     return t.spark.read.parquet(f"{out}/rows")
 
 
 @query("b13_publish_batches", "SELECT event_id, event_type <> 'error' AS sent FROM events")
 def _(t: Tables):
-    out = _work(t)
+    out = work_folder(t)
     send = lambda batch: batch.withColumn("ok", F.col("event_type") != "error")
     S.run_all(_events(t), f"{out}/checkpoint", S.publish(send, f"{out}/sent", f"{out}/failed"))
     read = lambda name, ok: t.spark.read.parquet(f"{out}/{name}").select("event_id", F.lit(ok).alias("sent"))

@@ -95,3 +95,17 @@ def publish(send: Callable[[DataFrame], DataFrame], sent: str, failed: str) -> C
         done.unpersist()
 
     return each
+
+
+def retry(spark: SparkSession, rows: DataFrame, send: Callable[[DataFrame], DataFrame], out: str, most: int = 3) -> None:
+    """Send `rows` and send again what failed, `most` times at most (S21): `send` gives them with `ok`, and sees `attempts`.
+    Results go to `out` with their state, "sent" or "given up"; each round's rows are a table of their own, so a lost
+    executor repeats one round."""
+    left = rows.withColumn("attempts", F.lit(1))
+    for turn in range(1, most + 1):
+        path = f"{out}-round-{turn}"
+        send(left).write.mode("overwrite").parquet(path)
+        done = spark.read.parquet(path)
+        over = F.col("ok") if turn < most else F.lit(True)
+        done.filter(over).withColumn("state", F.when(F.col("ok"), "sent").otherwise("given up")).drop("ok").write.mode("append").parquet(out)
+        left = done.filter("not ok").drop("ok").withColumn("attempts", F.col("attempts") + 1)
