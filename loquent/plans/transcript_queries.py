@@ -256,3 +256,36 @@ def _(t: Tables):
     ledger = t.nation.filter("n_regionkey < 2").select(F.col("n_name").alias("version"), F.lit("applied").alias("state"))
     new = t.nation.select(F.col("n_name").alias("version"), F.lit("new").alias("state")).join(ledger.select("version"), "version", "left_anti")
     return ledger.unionByName(new)
+
+
+# The named predicates of partial indexes; `now` is the moment of asking.
+PREDICATES = {
+    "user_profiles_permission_level": "is_active", "user_profiles_last_active": "is_active", "user_profiles_voice_id": "voice_id IS NOT NULL", "activity_logs_failed": "status = 'failed'", "activity_logs_parent_command": "parent_command_id IS NOT NULL",
+    "activity_logs_processing_time": "processing_time_ms IS NOT NULL", "activity_logs_confidence": "transcription_confidence IS NOT NULL", "system_events_component_timestamp": "component IS NOT NULL", "system_events_session": "session_id IS NOT NULL",
+    "system_events_unresolved": "resolved_at IS NULL AND severity IN ('error', 'critical')", "system_events_profile": "profile_id IS NOT NULL", "settings_category": "category IS NOT NULL", "settings_editable": "is_user_editable", "settings_sensitive": "is_sensitive",
+    "command_history_category": "command_category IS NOT NULL", "command_history_workflow": "n8n_workflow_id IS NOT NULL", "command_history_quick_action": "quick_action_id IS NOT NULL", "command_history_favorites": "is_favorite", "command_history_response_time": "n8n_response_time_ms IS NOT NULL",
+    "command_history_n8n_failures": "n8n_status_code IS NOT NULL AND (n8n_status_code < 200 OR n8n_status_code >= 300)", "quick_actions_enabled": "is_enabled", "sessions_active": "ended_at IS NULL", "sessions_duration": "duration_seconds IS NOT NULL", "sessions_platform": "client_platform IS NOT NULL",
+    "notification_queue_pending": "sent_at IS NULL", "notification_queue_retry": "sent_at IS NULL AND retry_count < max_retries", "activity_logs_today": "ts >= CAST(now AS DATE)", "usage_statistics_week": "CAST(ts AS DATE) >= CAST(now AS DATE) - INTERVAL '7' DAY",
+    "system_events_recent_errors": "severity IN ('error', 'critical') AND ts >= now - INTERVAL '24' HOUR", "activity_logs_active_users": "ts >= now - INTERVAL '30' DAY", "system_events_monitoring": "severity IN ('warning', 'error', 'critical')",
+}
+#: The columns that predicates ask for, made from events.
+_ASKED = {
+    "is_active": "event_type <> 'error'", "voice_id": "CASE WHEN event_type = 'view' THEN 'v' END", "status": "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END", "parent_command_id": "CASE WHEN event_type = 'click' THEN event_id END", "processing_time_ms": "CASE WHEN value > 10 THEN value END",
+    "transcription_confidence": "CASE WHEN value < 90 THEN value / 100 END", "component": "CASE WHEN event_type IN ('view', 'error') THEN event_type END", "session_id": "CASE WHEN value > 30 THEN user_id END", "resolved_at": "CASE WHEN value > 50 THEN ts END",
+    "severity": "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END", "profile_id": "CASE WHEN event_type <> 'signup' THEN user_id END", "category": "CASE WHEN value < 40 THEN event_type END", "is_user_editable": "value < 60", "is_sensitive": "value >= 60",
+    "command_category": "CASE WHEN value > 20 THEN event_type END", "n8n_workflow_id": "CASE WHEN event_type = 'purchase' THEN event_id END", "quick_action_id": "CASE WHEN event_type = 'signup' THEN event_id END", "is_favorite": "value > 95", "n8n_response_time_ms": "CASE WHEN value > 15 THEN value END",
+    "n8n_status_code": "CASE WHEN value > 5 THEN CAST(floor(value * 6) AS INTEGER) END", "is_enabled": "event_type = 'click'", "ended_at": "CASE WHEN value < 70 THEN ts END", "duration_seconds": "CASE WHEN value < 70 THEN value END", "client_platform": "CASE WHEN event_type <> 'view' THEN 'web' END",
+    "sent_at": "CASE WHEN value < 45 THEN ts END", "retry_count": "CAST(floor(value / 20) AS INTEGER)", "max_retries": "3",
+}
+
+
+@query(
+    "c13_all_predicates",
+    "WITH asked AS (SELECT ts, (SELECT max(ts) FROM events) AS now, " + ", ".join(f"{e} AS {c}" for c, e in _ASKED.items()) + " FROM events), c AS (SELECT " + ", ".join(f"count(*) FILTER ({p}) AS {n}" for n, p in PREDICATES.items()) + " FROM asked) UNPIVOT c ON COLUMNS(*) INTO NAME predicate VALUE rows",
+)
+def _(t: Tables):
+    """How many rows meet each named predicate: one pass, one row before it is turned."""
+    now = t.events.agg(F.max("ts").alias("now"))  # one row
+    asked = t.events.join(F.broadcast(now), F.lit(True)).select("ts", "now", *(F.expr(e).alias(c) for c, e in _ASKED.items()))
+    counts = asked.agg(*(F.count_if(F.expr(p)).alias(n) for n, p in PREDICATES.items()))
+    return counts.unpivot([], list(PREDICATES), "predicate", "rows")
