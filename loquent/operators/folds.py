@@ -68,6 +68,13 @@ def lines(tokens: DataFrame) -> DataFrame:
     return fold(tokens, "stream_id", ["seq"], [*_TOKEN, "speaker"], M.Lines, "line long, start double, end double, text string, speaker int")
 
 
+def speaker_lines(tokens: DataFrame, attributed: bool = True) -> DataFrame:
+    """tokens: stream_id, seq, start, end, text, speaker, horizon. The last token's speaker is told to all of a stream."""
+    whole = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = tokens.withColumn("last_speaker", F.last("speaker").over(whole))
+    return fold(rows, "stream_id", ["seq"], ["start", "end", "text", "speaker", "horizon", "last_speaker"], lambda: M.SpeakerLines(attributed), "line long, start double, end double, text string, speaker int, behind double")
+
+
 def blanks_to_silence(tokens: DataFrame, least: float = 4.0) -> DataFrame:
     return fold(tokens, "stream_id", ["seq"], _TOKEN, lambda: M.Blanks(least), "seq long, start double, end double, text string, speaker int")
 

@@ -280,6 +280,56 @@ class Lines:
         return self._done()
 
 
+@dataclass
+class SpeakerLines:
+    """Lines of a transcript with speakers (W7, S29). Rows: (start, end, text, speaker, horizon, last speaker of the stream).
+
+    Without `attributed` speakers -1 counts as 1. With them, a token without speaker belongs to the line before it, or, past
+    the horizon of attribution, waits outside the lines; unless the stream ends in silence. A change of speaker begins a
+    line right after a mark, or if one of the two is silence; else the token stays. `behind` says how far a line is past
+    the last attributed moment. Waiting tokens come last, as line -1.
+    """
+
+    attributed: bool = True
+    line: list | None = None
+    number: int = 0
+    after_mark: bool = False
+    known: float = 0.0
+    owner: int = -1
+    waiting: list = field(default_factory=list)
+
+    def push(self, row: tuple) -> list:
+        start, end, text, speaker, horizon, last = row
+        marked, self.after_mark = self.after_mark, False
+        if not self.attributed:
+            speaker = 1 if speaker == -1 else speaker
+        elif last != -2:
+            if speaker in (-1, 0) and end >= horizon:
+                self.waiting.append((start, end, text))
+                return []
+            speaker = self.owner if speaker in (-1, 0) else speaker
+            self.known = max(end, self.known) if speaker not in (-1, 0) else self.known
+        behind = round(end - self.known, 2)
+        if self.line is None:
+            self.line = [start, end, text, speaker, behind]
+            return []
+        self.owner = self.line[3]
+        self.after_mark = text.strip() in (".", "!", "?")
+        if speaker != self.owner and (-2 in (speaker, self.owner) or marked and not self.after_mark):
+            out, self.line = [(self.number, *self.line)], [start, end, text, speaker, behind]
+            self.number += 1
+            return out
+        if text:
+            self.line[1:3], self.line[4] = [end, f"{self.line[2]} {text}"], behind
+        return []
+
+    def close(self) -> list:
+        out = [] if self.line is None else [(self.number, *self.line)]
+        if self.waiting:
+            out.append((-1, self.waiting[0][0], self.waiting[-1][1], " ".join(w[2] for w in self.waiting), -1, 0.0))
+        return out
+
+
 @dataclass
 class Blanks:
     """Tokens of a blank marker become one row of silence if they last long enough (W5). Rows: (seq, start, end, text)."""

@@ -176,6 +176,26 @@ def _(t: Tables):
     return out.select(F.col("stream_id").alias("conv_id"), F.col("seq").alias("turn"), "kept", "removed")
 
 
+def attributed(t: Tables) -> DataFrame:
+    """Timed tokens whose last turn has no speaker yet, and some tokens before it neither; marks are tokens of their own."""
+    rows = tokens(t).withColumn("last", F.max("turn").over(Window.partitionBy("stream_id")))
+    parts = F.filter(F.array(F.regexp_replace("text", "[.!?]+$", ""), F.regexp_extract("text", "([.!?])[.!?]*$", 1)), lambda x: x != "")
+    rows = rows.withColumns({"part": F.explode(parts), "horizon": F.max(F.when(F.col("turn") < F.col("last"), F.col("end_ms"))).over(Window.partitionBy("stream_id"))})
+    speaker = F.when(F.col("turn") == F.col("last"), -1).when(F.col("seq") % 11 == 5, 0).otherwise(F.col("turn") % 2 + 1).cast("int")
+    seq = F.col("seq") * 2 + F.col("part").rlike("^[.!?]$").cast("long")
+    return rows.select("stream_id", seq.alias("seq"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("part").alias("text"), speaker.alias("speaker"), (F.coalesce("horizon", F.lit(0)) / 1000).alias("horizon"))
+
+
+@query("w7_speaker_lines")
+def _(t: Tables):
+    return D.speaker_lines(attributed(t))
+
+
+@query("w7_lines_without_speakers")
+def _(t: Tables):
+    return D.speaker_lines(attributed(t), False)
+
+
 @query("s3_buffer_trimming")
 def _(t: Tables):
     """The buffer is cut at finished sentences, or where it must (S2, S3): each turn is an iteration of one stream."""

@@ -364,3 +364,39 @@ def test_wav_files(spark, tmp_path):
             w.writeframes(b"".join(x.to_bytes(2, "little", signed=True) for x in samples))
     got = {r.path[-5]: (r.rate, r.samples) for r in read_wav(spark, str(tmp_path)).collect()}
     assert got == {"a": (16_000, [0.0, 0.5, -1.0]), "b": (16_000, [pytest.approx(200 / 32768), 0.0])}
+
+
+def lines_of(tokens, attributed):
+    """By places in the list: a change of speaker counts one place after a mark, or with silence."""
+    lines, waiting, owner, known, mark = [], [], -1, 0.0, None
+    for i, (_, start, end, text, speaker, horizon) in enumerate(tokens):
+        if not attributed and speaker == -1:
+            speaker = 1
+        if attributed and tokens[-1][4] != -2:
+            if speaker in (-1, 0) and end >= horizon:
+                waiting.append((start, end, text))
+                continue
+            speaker = owner if speaker in (-1, 0) else speaker
+            known = max(end, known) if speaker not in (-1, 0) else known
+        if not lines:
+            lines.append([start, end, text, speaker, round(end - known, 2)])
+            continue
+        owner = lines[-1][3]
+        mark = i if text in (".", "!", "?") else mark
+        if speaker != owner and (mark == i - 1 or -2 in (speaker, owner)):
+            lines.append([start, end, text, speaker, round(end - known, 2)])
+        elif text:
+            lines[-1] = [lines[-1][0], end, lines[-1][2] + " " + text, lines[-1][3], round(end - known, 2)]
+    out = [(n, *line) for n, line in enumerate(lines)]
+    return out + ([(-1, waiting[0][0], waiting[-1][1], " ".join(w[2] for w in waiting), -1, 0.0)] if waiting else [])
+
+
+def test_speaker_lines(run, t):
+    streams = group(R.attributed(t), "stream_id", ["seq", "start", "end", "text", "speaker", "horizon"])
+    for name, attributed in (("w7_speaker_lines", True), ("w7_lines_without_speakers", False)):
+        want = [(k, *line) for k, tokens in streams.items() for line in lines_of(tokens, attributed)]
+        assert rows(run(name)) == sorted(want, key=str), name
+    assert len(want) > len(streams)
+    silent = [(0, 0.0, 1.0, "a", 1, 0.0), (1, 1.0, 2.0, "b", -1, 0.0), (2, 2.0, 9.0, "", -2, 0.0)]
+    m = M.SpeakerLines()
+    assert fed(m, [(*x[1:], -2) for x in silent]) + m.close() == lines_of(silent, True) == [(0, 0.0, 2.0, "a b", 1, 2.0), (1, 2.0, 9.0, "", -2, 9.0)]
