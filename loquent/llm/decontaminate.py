@@ -4,8 +4,8 @@ Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. A seed i
 positions; positions with 0 are ignored, so a window still matches when words there were replaced. Windows of the
 benchmark items are hashed under every mask and joined with those of the documents; each hit fixes an alignment of an
 item with a document, and the words around it are compared. A document is contaminated by an item if at least
-`SIMILARITY` of the item's words stand in it in place, taken over alignments of the same item that are near each other
-(so inserted or missing words do not hide it).
+`SIMILARITY` of the item's words stand in it in place, or of any `RUN` words in a row of a longer item, taken over
+alignments of the same item that are near each other (so inserted or missing words do not hide it).
 
 Defined results: null and empty texts and items match nothing; items shorter than the longest mask are also matched as
 exact whole sequences; repeated rows give repeated results; an empty benchmark leaves every document clean.
@@ -26,6 +26,8 @@ from loquent.llm.columns import with_text_column
 
 MASKS = ("11111", "1101101", "1110011", "11001011")
 SIMILARITY = 0.8
+#: So many words in a row of a long item are enough.
+RUN = 50
 #: Alignments of one item at most so many words apart are read as one occurrence with words inserted or left out.
 DRIFT = 8
 #: Items are broadcast in blocks of at most so many and so many bytes of text; a larger benchmark takes more passes.
@@ -108,8 +110,12 @@ class Index:
                 last = s
                 lo, hi = max(0, -s), min(len(words), len(text) - s)
                 group[lo:hi] |= words[lo:hi] == text[lo + s : hi + s]
-                if group.mean() > best:
-                    best, start = float(group.mean()), max(0, begin)
+                value = group.mean()
+                if len(group) > RUN:
+                    sums = np.concatenate(([0], np.cumsum(group)))
+                    value = max(value, (sums[RUN:] - sums[:-RUN]).max() / RUN)
+                if value > best:
+                    best, start = float(value), max(0, begin)
             if best >= SIMILARITY:
                 out.append((d, i, best, start))
         return out
