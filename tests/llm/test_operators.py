@@ -362,6 +362,23 @@ def test_decontamination(spark):
     assert got == {1: {10}, 2: {10}, 3: set(), 4: set(), 5: set(), 6: set(), 7: {10}, 8: {13}}
 
 
+def test_decontamination_by_part_of_a_long_item(spark):
+    item, prose = [f"item{i}" for i in range(200)], [f"prose{i}" for i in range(300)]
+    swapped = [w if i % 6 else f"other{i}" for i, w in enumerate(item)]
+    docs = [(1, " ".join(prose + item[70:130] + prose)), (2, " ".join(prose + swapped[70:130])), (3, " ".join(prose + item[70:105] + prose)), (4, " ".join(prose))]
+    out = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, " ".join(item))], "item_id long, text string"), spark)
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in out.collect()} == {1: [10], 2: [10], 3: [], 4: []}
+
+
+def test_decontamination_leaves_other_documents_alone(run, spark, edged, texts):
+    """No document is flagged whose best alignment with the item, over all shifts, falls short."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER))
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{edged}/benchmark.parquet").collect()}
+    for r in run("op6_decontaminate").collect():
+        for i in r.item_ids:
+            assert len(set(items[i]) & set(words(texts[r.doc_id]))) >= 0.8 * min(len(set(items[i])), decontaminate.RUN) - 1
+
+
 def test_decontamination_finds_whole_items(run, spark, edged, texts):
     words = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)))
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{edged}/benchmark.parquet").collect()}
@@ -507,3 +524,51 @@ def test_odd_rows_and_empty_tables(spark, edges, empty, name):
     assert len({r.doc_id for r in rows}) == len({r.doc_id for r in edges.collect()})
     if name != "packing":
         assert len(rows) == edges.count()
+
+
+def by_id(rows, value):
+    """Values of each id's rows, in any order."""
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append(value(r))
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def test_defined_results_of_odd_rows(spark, edges):
+    texts = by_id(edges.collect(), lambda r: r.text)
+    # Language: none without letters; with one learned language, that one.
+    got = by_id(langid.identify(edges, langid.train(edges), spark).collect(), lambda r: r.lang_pred)
+    assert got == {k: ["en" if any(c.isalpha() for c in t or "") else "und" for t in v] for k, v in texts.items()}
+    # Personal data: no entity in these; null stays null, and columns stay as they are.
+    out = pii.redact(edges, spark, "k")
+    assert out.columns == [*edges.columns, "entities_"]
+    assert by_id(out.collect(), lambda r: (r.text, r.entities, r.row, r.entities_)) == {k: [(t, "x", "x", []) for t in v] for k, v in texts.items()}
+    # Decontamination: null and blank items match nothing, a short item only as a whole.
+    bench = spark.createDataFrame([(1, "one"), (2, None), (3, " "), (4, "")], "item_id long, text string")
+    got = by_id(decontaminate.find_leaks(edges, bench, spark, "found").collect(), lambda r: [x.item_id for x in r.found])
+    assert got == {k: [[1] if t == "one" else [] for t in v] for k, v in texts.items()}
+    # Token files and packing: every row by itself, null as empty, each with its end.
+    ids = {t: len(x) for t, x in encoded({t: t for v in texts.values() for t in v}).items()}
+    assert by_id(_token_files(edges, spark).collect(), lambda r: r.n_tokens) == {k: sorted((ids[t] for t in v), key=str) for k, v in texts.items()}
+    total = defaultdict(int)
+    for r in packing.pack(edges, spark, queries.tokenizer()).collect():
+        total[r.doc_id] += r.length
+    assert total == {k: sum(ids[t] for t in v) for k, v in texts.items()}
+    # Language model: null and blank texts are their end alone; all words are known to a model of the same rows.
+    count = {k: [len(WORD.findall(t or "")) + 1 for t in v] for k, v in texts.items()}
+    got = by_id(maxent.score(edges, edges, spark).collect(), lambda r: (r.n_tokens, r.n_known, r.train_tokens))
+    assert got == {k: [(n, n, sum(map(sum, count.values()))) for n in v] for k, v in count.items()}
+    # Repeats: rows with the same id and text are told apart by nothing, and repeat each other.
+    want = uncovered([(k, t) for k, v in texts.items() for t in v[:1]])
+    got = by_id(repeats.remove(edges, spark).collect(), lambda r: (r.n_bytes, r.n_removed, len(r.spans)))
+    assert {k: v[0] for k, v in got.items()} == {k: v[:3] for k, v in want.items()} and len(got[-5]) == 2
+
+
+def test_odd_tables_of_quality_and_vectors(spark, edges, empty):
+    labels = spark.createDataFrame([(-4, 1), (-6, 0), (-5, 1), (-5, 0), (None, 1), (-7, None)], "doc_id long, quality int")
+    model = quality.train(edges, labels)
+    assert quality.score(empty, model, spark).count() == 0
+    got = by_id(quality.score(edges, model, spark).collect(), lambda r: (r.score, r.predicted))
+    assert len(got) == 10 and all(0 <= s <= 1 and p == (s >= 0.3) for v in got.values() for s, p in v) and got[-1] == got[-2]
+    v = spark.createDataFrame([(50, [1.0, 0.0], "x"), (1, [1.0, 1.0], "y"), (1, [0.0, 1.0], "z")], "vec_id long, embedding array<double>, codes string")
+    assert [(r["rank"], r.vec_id) for r in ann.nearest(v, v.filter("vec_id = 50"), 5, spark).orderBy("rank").collect()] == [(1, 1), (2, 1)]
