@@ -351,6 +351,31 @@ def test_packing_plan_against_best_fit_decreasing():
     assert used <= len(room) + 2
 
 
+def test_packing_plan_is_carried_by_the_linear_program():
+    """Lengths like those of documents: configurations place nearly all large pieces, and nothing is fitted again."""
+    rng = np.random.default_rng(1)
+    counts = dict(Counter(np.clip(rng.lognormal(5.2, 1.3, 50_000).astype(int), 1, 2048).tolist()))
+    report = {}
+    patterns = packing.plan(counts, report=report)
+    held = Counter()
+    for pattern, times in patterns:
+        assert sum(pattern) <= 2048
+        for n in pattern:
+            held[n] += times
+    used, bound = sum(n for _, n in patterns), -(-sum(n * c for n, c in counts.items()) // 2048)
+    print(f"sequences {used}, lower bound {bound}, {report}")
+    assert held == counts and used <= 1.005 * bound and report["placed"] > 0.99 and report["refitted"] == 0
+
+
+def test_packing_plan_of_few_short_pieces():
+    """Without short pieces the repair step is what comes near the bound."""
+    rng = np.random.default_rng(1)
+    counts = dict(Counter(np.clip(rng.lognormal(6.8, 0.6, 20_000).astype(int), 1, 2048).tolist()))
+    report = {}
+    used, bound = sum(n for _, n in packing.plan(counts, report=report)), -(-sum(n * c for n, c in counts.items()) // 2048)
+    assert used <= 1.01 * bound and report["placed"] > 0.99
+
+
 def test_decontamination(spark):
     item = [f"item{i}" for i in range(40)]
     swapped = [w if i % 9 else f"other{i}" for i, w in enumerate(item)]
