@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loquent.plans.registry import Tables, query
 from loquent.plans.streams_queries import work_folder
 from loquent.sources import files as S
-from loquent.streaming.streams import retry
+from loquent.streaming import streams as R
 
 
 @query("a12_json_lines", "SELECT event_id, value FROM events WHERE event_type <> 'error'")
@@ -76,7 +76,7 @@ def _(t: Tables):
     """Each event needs so many attempts; after three it is given up."""
     out = work_folder(t)
     need = (F.floor(F.col("value") / 20) + 1).cast("int")
-    retry(t.spark, t.events.select("event_id", need.alias("need")), lambda df: df.withColumn("ok", F.col("attempts") >= F.col("need")), out, 3)
+    R.retry(t.spark, t.events.select("event_id", need.alias("need")), lambda df: df.withColumn("ok", F.col("attempts") >= F.col("need")), out, 3)
     rows = t.spark.read.schema("event_id long, attempts int, state string").parquet(out)
     return rows.select("event_id", "state", "attempts")
 
@@ -90,3 +90,23 @@ def _(t: Tables):
     cues = timed(t).select("stream_id", F.col("seq").alias("number"), "start", "end", "text")
     S.write_subtitles(cues, out, "srt")
     return t.spark.read.option("basePath", f"{out}/srt").text(f"{out}/srt").groupBy("stream_id").agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains(" --> ")).alias("cues"))
+
+
+@query("a14_messages_of_a_type", "SELECT event_id, value FROM events WHERE event_type = 'click'")
+def _(t: Tables):
+    """Messages of one type out of a stream of several."""
+    out = work_folder(t)
+    t.events.select(F.to_json(F.struct(F.col("event_type").alias("type"), "event_id", "value")).alias("value")).write.text(f"{out}/in")
+    R.run_all(R.read_messages(t.spark, f"{out}/in", "event_id long, value double", "click"), f"{out}/checkpoint", f"{out}/rows")
+    return t.spark.read.schema("event_id long, value double").parquet(f"{out}/rows")
+
+
+@query("s25_bridge", "SELECT event_id, 'event.' || event_type AS routing_key, props AS payload FROM events WHERE event_type <> 'signup'")
+def _(t: Tables):
+    """Consume, map to an envelope, publish; a few files in a micro-batch (A4)."""
+    out = work_folder(t)
+    t.events.write.parquet(f"{out}/in")
+    rows = R.read_table(t.spark, f"{out}/in", t.events.schema, files=2).filter("event_type <> 'signup'")
+    rows = rows.select("event_id", F.concat(F.lit("event."), F.col("event_type")).alias("routing_key"), F.col("props").alias("payload"))
+    R.run_all(rows, f"{out}/checkpoint", R.publish(lambda batch: batch.withColumn("ok", F.lit(True)), f"{out}/sent", f"{out}/failed"))
+    return t.spark.read.parquet(f"{out}/sent").drop("batch")

@@ -67,7 +67,13 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("t21_signature")
+def _keyed(key: str, column: str) -> str:
+    """HMAC-SHA256 in SQL: the key's two pads around two digests."""
+    inner, outer = (bytes(b ^ pad for b in key.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({column}))))"
+
+
+@query("t21_signature", f"SELECT event_id, {_keyed('key', 'props')} AS signature FROM events")
 def _(t: Tables):
     return t.events.select("event_id", T.signature("key")("props").alias("signature"))
 
