@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from loquent.llm import textbuf as tb
 from loquent.llm.components import components
-from loquent.llm.scratch import Scratch
+from loquent.llm.scratch import Scratch, small_batches
 
 #: A pair that is just similar enough shares no bucket with at most this probability; a band of it agrees at most so often.
 MISSED, AGREES = 1e-6, 0.325
 SHINGLE = 5
+#: Rows handed to Python at once: texts, or pairs of sets.
+BATCH = 1000
 #: Buckets are finished at once when the pairs in them are at most so many, or 20 for each of their rows; only pairs that
 #: may still link leave the join.
 PAIRS = 50_000_000
@@ -117,6 +119,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that) and text_digest of each row."""
+    with small_batches(spark, BATCH):
+        return _near_duplicates(docs, spark, percent)
+
+
+def _near_duplicates(docs: DataFrame, spark: SparkSession, percent: int) -> DataFrame:
     scratch = Scratch(spark)
     rows = scratch.table(signed(docs, percent), "signed")
     # One row a class of equal sets: partial aggregation takes copies together before the shuffle.

@@ -116,20 +116,6 @@ def write(docs: DataFrame, spark: SparkSession, path: str, out: str) -> None:
     scratch.drop(ids)
 
 
-class _small_batches:
-    """Rows here are blocks of up to some MB: few of them in an Arrow batch."""
-
-    def __init__(self, spark: SparkSession):
-        self.conf, self.key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-    def __enter__(self) -> None:
-        self.before = self.conf.get(self.key)
-        self.conf.set(self.key, "16")
-
-    def __exit__(self, *_: object) -> None:
-        self.conf.set(self.key, self.before)
-
-
 def read(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (32-bit little-endian) of each document,
     from the files at `out`."""
