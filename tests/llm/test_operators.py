@@ -68,6 +68,17 @@ def test_near_duplicates_equal_brute_force(run, texts):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[d]), want[d], want[d] == d), d
 
 
+def test_near_duplicates_equal_their_sql(run, edged):
+    import duckdb
+
+    from loquent.llm.oracles import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{edged}/documents.parquet/*.parquet')")
+    want = con.execute(oracle_sql()["op1_near_duplicates"]).fetchall()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run("op1_near_duplicates").collect()) == sorted(want)
+
+
 def test_near_duplicates_of_many_near_copies(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(150)]
