@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, decontaminate, langid, maxent, neardup, packing, pii, quality, repeats, tokenfile
+from loquent.llm import ann, bpe, decontaminate, langid, maxent, neardup, packing, pii, quality, repeats, tokenfile
 from loquent.llm.scratch import Scratch
 
 
@@ -77,5 +77,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer())
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(told, spark, tokenizer()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
