@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,15 +25,23 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from loquent.llm import textbuf as tb
 from loquent.llm.columns import free_name
 
-#: Pieces remembered by a worker: those of late, and as many of before. Longer pieces than LONG are not remembered.
-CACHE, LONG = 300_000, 256
+#: Pieces remembered by a worker: about so many of late, and as many of before. Longer ones than LONG are not.
+CACHE, LONG = 250_000, 256
 #: Bytes of text whose new pieces share an index, and ids decoded at once.
-INDEXED, DECODED = 16 << 20, 1 << 20
-# How byte-level files split texts; a fixed pattern of the format.
+INDEXED, DECODED = 8 << 20, 1 << 20
+# How byte-level files split texts; a fixed pattern of the format, for all characters and for those of `_late`'s complement.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _KINDS = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s", ".")]
-#: Characters whose kind all versions of Unicode agree on; the library is asked for the kind of others.
-_late = regex.compile(r"[^\x00-\x1b\x20-\x7e\xa0-˿Ͱ-ͳΆ-ҁ]")
+#: Characters whose kind not all versions of Unicode agree on; the library is asked for it.
+_late = re.compile("[^\x00-\x1b\x20-\x7e\xa0-\u02ff\u0370-\u0373\u0386-\u0481]")
+
+
+def _early(category: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x482)) if unicodedata.category(c)[0] == category and not _late.match(c))
+
+
+_l, _n, _s = _early("L"), _early("N"), r"\t-\r \xa0"
+_FAST = re.compile(rf" ?[{_l}]+|'(?:[stmd]|re|ve|ll)| ?[{_n}]+| ?[^{_s}{_l}{_n}]+|[{_s}]+(?![^{_s}])|[{_s}]+")
 _NONE = np.int32(1 << 30)
 
 
@@ -42,6 +52,29 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(others)) for b in range(256)]
 
 
+class Remembered:
+    """What was found of late, and of before as much again; `turn` forgets the rest."""
+
+    def __init__(self):
+        self.late: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.late or key in self.before
+
+    def __getitem__(self, key: str) -> bytes:
+        if key not in self.late:
+            self.late[key] = self.before[key]
+        return self.late[key]
+
+    def put(self, found: dict[str, bytes]) -> None:
+        self.late.update(found)
+
+    def turn(self) -> None:
+        if len(self.late) > CACHE:
+            self.late, self.before = {}, self.late
+
+
 class Bpe:
     """The merges of one file. `pieces(text)` splits, `ids(texts)` encodes, `texts(ids, offsets)` decodes.
 
@@ -79,8 +112,7 @@ class Bpe:
         self.held = [held.get(i, b"") for i in range(max(held, default=-1) + 1)]
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.agreed: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Remembered()
 
     def _agrees(self, c: str) -> bool:
         """Whether the library takes a character for the same kind as the pattern does."""
@@ -91,10 +123,11 @@ class Bpe:
         return self.agreed[c]
 
     def pieces(self, text: str) -> list[str]:
-        if _late.search(text) and not all(map(self._agrees, set(_late.findall(text)))):
-            at = [x for _, x in self.library.pre_tokenize_str(text)]
-            return [text[a:b] for a, b in at]
-        return _PIECES.findall(text)
+        if not _late.search(text):
+            return _FAST.findall(text)
+        if all(map(self._agrees, set(_late.findall(text)))):
+            return _PIECES.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; _NONE for those that never merge."""
@@ -167,39 +200,39 @@ class Bpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        self.known.turn()
         split: list[list[str | bytes]] = []
+        mixed: set[int] = set()
+        met: dict[str, str] = {}
+
+        def cut(text: str) -> list[str]:
+            found = self.pieces(text)
+            return list(map(met.setdefault, found, found))
+
         for text in texts:
             if self.cuts and self.cuts.search(text):
                 parts: list[str | bytes] = []
                 end = 0
                 for m in self.cuts.finditer(text):
-                    parts += [*self.pieces(text[end : m.start()]), np.array(self.added[m.group()], "<i4").tobytes()]
+                    parts += [*cut(text[end : m.start()]), np.array(self.added[m.group()], "<i4").tobytes()]
                     end = m.end()
-                split.append(parts + self.pieces(text[end:]))
+                mixed.add(len(split))
+                split.append(parts + cut(text[end:]))
             else:
-                split.append(self.pieces(text))
-        if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        known, old, long = self.known, self.before, {}
-        new = {p for parts in split for p in parts if p not in known and isinstance(p, str)}
-        again = new.intersection(old)
-        known.update((p, old[p]) for p in again)
-        fresh = list(new.difference(again))
-        for p, ids in zip(fresh, self.merge(fresh), strict=True):
-            (known if len(p) <= LONG else long)[p] = ids
-        find = known.__getitem__
-        out = []
-        for parts in split:
-            try:
-                out.append(b"".join(map(find, parts)))
-            except KeyError:
-                out.append(b"".join([p if isinstance(p, bytes) else known[p] if p in known else long[p] for p in parts]))
-        return out
+                split.append(cut(text))
+        ids = {p: self.known[p] for p in met if p in self.known}
+        new = [p for p in met if p not in ids]
+        found = dict(zip(new, self.merge(new), strict=True))
+        self.known.put({p: x for p, x in found.items() if len(p) <= LONG})
+        ids.update(found)
+        at = ids.__getitem__
+        return [b"".join(map(at, parts)) if k not in mixed else b"".join([p if isinstance(p, bytes) else at(p) for p in parts]) for k, parts in enumerate(split)]
 
     def text(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids that are not in the file stand for nothing."""
         held = self.held
-        return b"".join([held[i] for i in ids.tolist() if 0 <= i < len(held)]).decode("utf-8", "replace")
+        ids = ids[(ids >= 0) & (ids < len(held))]
+        return b"".join(map(held.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -208,16 +241,25 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, spark: SparkSession, path: str, name: str = "ids") -> DataFrame:
+def _lists(found: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def encode(docs: DataFrame, spark: SparkSession, path: str, name: str = "ids", decoded: str | None = None) -> DataFrame:
     """`docs` (with `text`) and the column `name`: the ids of the whole text, array<int>; its text column is left out.
 
-    A null text counts as empty and has no ids; the strings of added tokens in a text become their ids. Repeated rows
-    are encoded each, an empty table gives an empty one, other columns pass through, and `name` gets underscores where
-    `docs` has such a column. No shuffle: a task takes its own rows, INDEXED bytes of
-    text at once, or one row if that is longer; a row may be as long as 2**31 / 40 bytes.
+    With `decoded`, the text of these ids is a column of that name, made in the same task. A null text counts as empty and
+    has no ids; the strings of added tokens in a text become their ids. Repeated rows are encoded each, an empty table
+    gives an empty one, other columns pass through, and new names get underscores where `docs` has such a column. No
+    shuffle: a task takes its own rows, INDEXED bytes of text at once, or one row if that is longer; a row may be as long
+    as 2**31 / 40 bytes.
     """
     name = free_name(docs, name)
+    decoded = decoded and free_name(docs.withColumn(name, F.lit(0)), decoded)
     kept = [f for f in docs.schema.fields if f.name != "text"]
+    # A null text still gives an empty list.
+    made = [StructField(name, ArrayType(IntegerType(), False)), *([StructField(decoded, StringType())] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path)
@@ -229,14 +271,12 @@ def encode(docs: DataFrame, spark: SparkSession, path: str, name: str = "ids") -
                 while to < len(found) and size + len(found[to]) <= 4 * DECODED:
                     size += len(found[to])
                     to += 1
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found[at:to]])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found[at:to]), "<i4")))
-                rest = part.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*(rest.column(rest.schema.get_field_index(f.name)) for f in kept), lists], [*(f.name for f in kept), name])
+                rest, ids = part.slice(at, to - at), found[at:to]
+                new = [_lists(ids), *([pa.array([own.text(np.frombuffer(x, "<i4")) for x in ids], pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*(rest.column(rest.schema.get_field_index(f.name)) for f in kept), *new], [f.name for f in [*kept, *made]])
                 at = to
 
-    columns = [F.col(f"`{f.name}`") for f in kept]
-    return docs.select(*columns, F.col("text")).mapInArrow(run, StructType([*kept, StructField(name, ArrayType(IntegerType(), False))]))
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col("text")).mapInArrow(run, StructType([*kept, *made]))
 
 
 def decode(rows: DataFrame, spark: SparkSession, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

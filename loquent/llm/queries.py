@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, bpe, decontaminate, langid, maxent, neardup, packing, pii, quality, repeats, tokenfile
+from loquent.llm import ann, bpe, decontaminate, langid, maxent, merkle, neardup, packing, pii, quality, repeats, tokenfile
 from loquent.llm.scratch import Scratch
 
 
@@ -77,10 +77,20 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = _read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.digest(*(F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, changed)
+    rows = merkle.prove(docs, spark, fields, tampered=tampered)
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer())
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(told, spark, tokenizer()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, tokenizer(), decoded="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
