@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import ann, bpe, decontaminate, langid, maxent, merkle, neardup, packing, pii, quality, repeats, tokenfile
+from loquent.llm import ann, bpe, decontaminate, dialogue, langid, maxent, merkle, neardup, packing, pii, quality, repeats, tokenfile
 from loquent.llm.scratch import Scratch
 
 
@@ -93,5 +93,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damage(rows), rows, spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
