@@ -15,8 +15,12 @@ SIGNS = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}
 MONEY = {"pound": "£", "pounds": "£", "euro": "€", "euros": "€", "dollar": "$", "dollars": "$", "cent": "¢", "cents": "¢"}
 
 _WORDS = {*ONES, *TENS, *SCALES}
-#: Texts without any of these hold no number.
-_SOME = re.compile("[0-9]|" + "|".join(sorted({*ZEROS[1:], *ONES, *TENS, *SCALES, *ORDINALS, r"\bo\b", "ieth", "ties"})))
+#: Texts without any of these hold no number, and no word that goes because another one follows.
+_SOME = re.compile("[0-9]|" + "|".join(sorted({*ZEROS[1:], *ONES, *TENS, *SCALES, *ORDINALS, *SIGNS, "point", "half", r"\bo\b", "ieth", "ties"})))
+# Patterns that the result needs. In the one of cents, any character may stand for the point.
+_HALF, _ENDING = re.compile(r"\band\s+a\s+half\b"), re.compile(r"([0-9])\s+(st|nd|rd|th|s)\b")
+_BORDERS = (re.compile(r"([a-z])([0-9])"), re.compile(r"([0-9])([a-z])"))
+_WITH_CENTS, _ONLY_CENTS, _ONE = re.compile(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b"), re.compile(r"[€£$]0.([0-9]{1,2})\b"), re.compile(r"\b1(s?)\b")
 _NUMERAL = re.compile(r"[-+£€$¢]?([0-9]+(?:\.[0-9]+)?)")
 
 
@@ -31,8 +35,9 @@ def stem(word: str) -> tuple[str, str]:
     return word, ""
 
 
-def _counts(word: str | None) -> bool:
-    return word is not None and (word in ZEROS or stem(word)[0] in _WORDS)
+def _speaks(word: str | None) -> bool:
+    """Whether a word has a part in numbers: it counts, or is a sign, money, percent or a word between digits."""
+    return word is not None and (word in ZEROS or stem(word)[0] in {*_WORDS, "zero"} or word in SIGNS or word in MONEY or word in ("per", "percent", "and", "double", "triple", "point"))
 
 
 def _digits(word: str | None) -> bool:
@@ -53,7 +58,8 @@ class Amount:
         return self.sign + (str(self.value) if self.text is None else self.text) + self.tail
 
     def _spell(self, digits: str) -> None:
-        self.text, self.value = (str(self.value) if self.value is not None else self.text or "") + digits, None
+        # A numeral 0 gives way to what is spelt after it.
+        self.text, self.value = (str(self.value) if self.value else self.text or "") + digits, None
 
     def _add(self, n: int, room: int) -> None:
         """`n` fills the zeros at the end of the value if there are enough, else its digits follow."""
@@ -97,7 +103,8 @@ class Amount:
                 self._spell(word)
             else:
                 self.sign = word[: m.start(1)] or self.sign
-                self.value, self.text = (None, m[1]) if "." in m[1] else (int(m[1]), None)
+                whole, _, part = m[1].partition(".")
+                self.value, self.text = (None, m[1]) if part.strip("0") else (int(whole), None)
             return 1
         if word in ZEROS:
             self._spell("0")
@@ -114,12 +121,18 @@ class Amount:
                 self._spell("0")
             self.tail, self.closed = ending, bool(ending)
             return 1
-        if word in SIGNS and not self.begun and not self.sign and (_counts(following) or _digits(following)):
+        goes_on = _speaks(following) or _digits(following)
+        if word in SIGNS and not self.begun and goes_on:
             self.sign = SIGNS[word]
             return 1
         if word in ("double", "triple") and (following in ZEROS or following in ONES):
             self._spell(str(ONES.get(following, 0)) * (2 if word == "double" else 3))
             return 2
+        if word == "point" and goes_on:
+            # Before a word of numbers that is no digit, it is left out.
+            if _digits(following) or following in ZEROS or following in ONES or following in TENS:
+                self._spell(".")
+            return 1
         if not self.begun:
             return 0
         if word in MONEY:
@@ -128,9 +141,7 @@ class Amount:
             self.tail, self.closed = "%", True
             return 1 + (word == "per")
         elif word == "and":
-            return int(self.before in SCALES and (_counts(following) or _digits(following)))
-        elif word == "point" and (_digits(following) or following in ZEROS or following in ONES or following in TENS):
-            self._spell(".")
+            return int(self.before in SCALES and goes_on)
         else:
             return 0
         return 1
@@ -140,22 +151,24 @@ def number_words(text: str) -> str:
     """Number words as digits, with sign, money, percent, decimals and endings."""
     if not _SOME.search(text):
         return " ".join(text.split())
-    parts = re.split(r"\band\s+a\s+half\b", text)
+    parts = _HALF.split(text)
     for i, part in enumerate(parts[:-1]):
         last = (part.split() or [""])[-1]
-        parts[i] = f"{part} point five" if last in ZEROS or last in ONES or last in TENS or last in SCALES else f"{part} and a half"
-    text = re.sub(r"([0-9])([a-z])", r"\1 \2", re.sub(r"([a-z])([0-9])", r"\1 \2", " ".join(parts)))
-    words = re.sub(r"([0-9])\s+(st|nd|rd|th|s)\b", r"\1\2", text).split()
+        if last:
+            parts[i] = f"{part} point five" if last in ZEROS or last in ONES or last in TENS or last in SCALES else f"{part} and a half"
+    text = " ".join(parts)
+    for border in _BORDERS:
+        text = border.sub(r"\1 \2", text)
+    words = _ENDING.sub(r"\1\2", text).split()
     out, k, amount = [], 0, Amount()
     while k < len(words):
         used = amount.take(words, k)
         if not used:
-            out.append(str(amount) if amount.begun else words[k])
+            out.append(str(amount) if amount.begun else amount.sign + words[k])
             used, amount = 0 if amount.begun else 1, Amount()
         k += used
     if amount.begun:
         out.append(str(amount))
     # Cents after a whole amount: $2 and ¢7 are $2.07.
-    joined = re.sub(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b", lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", " ".join(out))
-    joined = re.sub(r"[€£$]0.([0-9]{1,2})\b", lambda m: f"¢{int(m[1])}", joined)
-    return re.sub(r"\b1(s?)\b", r"one\1", joined)
+    joined = _WITH_CENTS.sub(lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", " ".join(out))
+    return _ONE.sub(r"one\1", _ONLY_CENTS.sub(lambda m: f"¢{int(m[1])}", joined))

@@ -272,7 +272,9 @@ def test_english_normalizer(spark):
 @pytest.mark.parametrize(
     "words, digits",
     [("five twenty four", "524"), ("twenty nineteen", "2019"), ("two point five million", "2500000"), ("four point two billions", "4200000000s"), ("$20 million", "$20000000"), ("two double o eight", "2008"), ("one oh one", "101"), ("minus 500", "-500"), ("forty three thousand two hundred and sixty", "43260"),
-     ("two dollars and seventy cents", "$2.70"), ("$0.36", "¢36"), ("three and a half million", "3500000"), ("b747", "b 747"), ("10 th", "10th"), ("twenty first", "21st"), ("nineteen sixties", "1960s"), ("thirty three hundred", "3300"), ("you and me", "you and me"), ("one two three", "123"), ("five per cent", "5%"), ("it is one", "it is one")],
+     ("two dollars and seventy cents", "$2.70"), ("$0.36", "¢36"), ("three and a half million", "3500000"), ("b747", "b 747"), ("10 th", "10th"), ("twenty first", "21st"), ("nineteen sixties", "1960s"), ("thirty three hundred", "3300"), ("you and me", "you and me"), ("one two three", "123"), ("five per cent", "5%"), ("it is one", "it is one"),
+     ("it was point two five percent", "it was .25%"), ("point five", ".5"), ("minus point five", "-.5"), ("minus double five", "-55"), ("minus minus three", "-3"), ("minus dollars", "-dollars"), ("minus you", "minus you"), ("and a half cup", "cup"), ("a cup and a half", "a cup and a half"), ("0 point five", ".5"), ("zero point zero five", "0.05"), ("5.0", "5"), ("made a point and left", "made a and left"),
+     ("a point", "a point"), ("five point million", "5000000"), ("one hundred and double five", "10055"), ("two hundred and minus one", "200 -one"), ("four point two point six", "4.2.6"), ("$0 12", "¢12")],
 )
 def test_number_words(words, digits):
     assert number_words(words) == digits
