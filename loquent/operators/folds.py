@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loquent.operators import machines as M
@@ -17,25 +19,33 @@ from loquent.operators import sequences as Q
 
 
 def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str) -> DataFrame:
-    """`machine()` for each key; push(row) and close() give tuples of `outputs` (a schema without the key)."""
-    kind = df.schema[key].dataType.simpleString()
-    names = [key, *(c.strip().split(" ")[0] for c in outputs.split(","))]
+    """`machine()` for each key; push(row) and close() give tuples of `outputs` (a schema without the key).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null key is a key of its own, after the sort before all others. Nulls and NaN of inputs come as None; whole numbers
+    stay whole, whatever their size.
+    """
+    schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(outputs).fields])
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state = None, None
         for batch in batches:
             rows: list[tuple] = []
-            for k, *row in batch[[key, *inputs]].itertuples(index=False, name=None):
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *inputs)), strict=True):
                 if state is None or k != own:
                     if state is not None:
                         rows += [(own, *r) for r in state.close()]
                     own, state = k, machine()
                 rows += [(k, *r) for r in state.push(tuple(None if x != x else x for x in row))]
-            yield pd.DataFrame(rows, columns=names)
+            yield batch_of(rows)
         if state is not None:
-            yield pd.DataFrame([(own, *r) for r in state.close()], columns=names)
+            yield batch_of([(own, *r) for r in state.close()])
 
-    return df.select(key, *dict.fromkeys([*order, *inputs])).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} {kind}, {outputs}")
+    return df.select(key, *dict.fromkeys([*order, *inputs])).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def agree(hypotheses: DataFrame, sure: float | None = None, policy: str = "pad") -> DataFrame:

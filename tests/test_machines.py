@@ -50,3 +50,13 @@ def test_sequences():
     assert Q.trim_tail(list("xyababab")) == list("xyab")
     assert Q.common_substring("abcdef", "zcdez") == "cde"
     assert Q.warp(np.abs(np.subtract.outer([1.0, 2, 3], [1.0, 2, 2, 3]))).tolist() == [[0, 0], [1, 1], [1, 2], [2, 3]]
+
+
+def test_folds_of_null_and_large_keys(spark):
+    """Rows of the null stream share one machine, and ids beyond 2**53 stay apart."""
+    from loquent.operators import folds as D
+
+    big = 2**53
+    rows = [(None, 0, 0.0, 1.0), (None, 1, 0.5, 2.0), (big, 0, 0.0, 3.0), (big, 1, 1.0, 4.0), (big + 1, 0, 0.2, 0.4)]
+    got = D.monotonic(spark.createDataFrame(rows, "stream_id long, seq long, start double, end double")).collect()
+    assert sorted(((r.stream_id, r.seq, r.start) for r in got), key=str) == sorted([(None, 0, 0.0), (None, 1, 1.01), (big, 0, 0.0), (big, 1, 3.01), (big + 1, 0, 0.2)], key=str)
