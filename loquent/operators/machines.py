@@ -413,3 +413,53 @@ class Truncate:
 
     def close(self) -> list:
         return []
+
+
+@dataclass
+class Idle:
+    """Tells of keys without rows (S19): (last, noticed), when the next row or the end shows it, or a timer does.
+
+    Rows: (at,) in milliseconds. `quiet` is what a timer calls; the machine itself needs none if rows come in order.
+    """
+
+    patience: int
+    timed: bool = False
+    last: int | None = None
+
+    def push(self, row: tuple) -> list:
+        out = [] if self.timed or self.last is None or row[0] - self.last <= self.patience else self.quiet(self.last, self.last + self.patience)
+        self.last = row[0]
+        return out
+
+    def quiet(self, last: int, noticed: int) -> list:
+        return [(last, noticed)]
+
+    def close(self) -> list:
+        return [] if self.timed or self.last is None else self.quiet(self.last, self.last + self.patience)
+
+
+@dataclass
+class NoOutput:
+    """Starts a buffer anew that grows for longer than `limit` without output (S4): (at, begin of the buffer).
+
+    Rows: (at, whether it is output). After a reset the time of the last output counts as long ago.
+    """
+
+    limit: float
+    begin: float | None = None
+    last: float | None = None
+
+    def push(self, row: tuple) -> list:
+        at, output = row
+        if self.begin is None:
+            self.begin = at
+        if output:
+            self.last = at
+        elif at - self.begin > self.limit and (self.last is None or at - self.last > self.limit):
+            out = [(at, self.begin)]
+            self.begin, self.last = at, None
+            return out
+        return []
+
+    def close(self) -> list:
+        return []
