@@ -54,11 +54,6 @@ class Agreement:
         self.committed = (self.committed + out)[-self.keep :]
         return [(*t, True) for t in out]
 
-    def evict(self, before: float) -> None:
-        """Forget committed tokens that ended by then."""
-        while self.committed and self.committed[0][3] <= before:
-            self.committed.pop(0)
-
     def silence(self, seconds: float, policy: str = "pad") -> list:
         """A stretch of silence (S27): pad or offset moves time on, flush gives up what is pending if it is long."""
         if policy == "flush" and seconds >= 5:

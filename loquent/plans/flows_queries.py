@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquent.operators import machines as M
 from loquent.plans.registry import Tables, query
-from loquent.plans.streams_queries import work_folder
+from loquent.plans.streams_queries import STEPS, in_steps, work_folder
 from loquent.streaming import flows as W
 from loquent.streaming import streams as S
 
-STEPS = 3
 #: Steps in SQL: equal spans of time.
 _STEPS = f"s AS (SELECT *, least(CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {STEPS} / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)) AS BIGINT), {STEPS - 1}) AS step FROM events)"
 
@@ -22,18 +19,6 @@ def timed(t: Tables) -> DataFrame:
     return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def in_steps(t: Tables, rows: DataFrame, folder: str, run: Callable[[DataFrame], None], shuffled: float = 0, ended: bool = False) -> None:
-    """Rows arrive by their time in STEPS steps, up to `shuffled` seconds late; after each, `run` is given the stream."""
-    by = F.unix_micros("ts") + (F.crc32(F.col("event_id").cast("string")) % 1000 * int(shuffled * 1000)).cast("long")
-    step = W.steps(rows, by, STEPS)
-    stream = S.read_table(t.spark, W.landing(t.spark, folder), rows.schema)
-    for _ in W.arrive(rows, folder, step, STEPS):
-        run(stream)
-    if ended:
-        W.end(t.spark, folder, rows.schema)
-        run(stream)
-
-
 @query("j12_streamed_requests", "SELECT event_id, event_type <> 'error' AND value <= 30 AS answered, CASE WHEN event_type <> 'error' AND value <= 30 THEN CAST(round(value * 1000000) AS BIGINT) END AS delay_us FROM events")
 def _(t: Tables):
     """Every event asks; all but errors are answered after `value` seconds, which is too late beyond 30."""

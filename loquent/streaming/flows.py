@@ -48,9 +48,11 @@ def arrive(rows: DataFrame, folder: str, step: Column, many: int) -> Iterator[in
 
 
 def end(spark: SparkSession, folder: str, schema: StructType, ts: str = "ts") -> None:
-    """Append the row that ends a stream."""
-    none = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    spark.range(1).select(*none).write.mode("append").parquet(folder)
+    """Append the row that ends a stream. Its other columns are zero or empty where their type has such a value: a null might
+    be filtered away before the watermark sees the row, as joins ask for keys."""
+    some = {"string": "", "boolean": False} | dict.fromkeys(("byte", "short", "integer", "long", "float", "double"), 0)
+    values = [F.lit(END if f.name == ts else some.get(f.dataType.typeName())).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(folder)
 
 
 def watermarked(rows: DataFrame, late: str, ts: str = "ts") -> DataFrame:

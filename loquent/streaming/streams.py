@@ -1,17 +1,14 @@
-"""Structured Streaming forms of the stateful operators. The same machines run here and in the batch folds.
+"""Structured Streaming readers, windows and sinks; flows over several micro-batches are in `flows`.
 
-Watermarks are an addition: the reference orders by arrival. Event times must be `timestamp`; readers cast them.
+Watermarks are an addition: rows need not come in order. Event times must be `timestamp`; readers cast them.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_table(spark: SparkSession, path: str, schema, ts: str | None = None, files: int | None = None) -> DataFrame:
@@ -35,31 +32,6 @@ def read_messages(spark: SparkSession, path: str, schema: str, kind: str) -> Dat
     return rows.filter(F.col("m.type") == kind).select("m.*")
 
 
-def stateful(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str, ttl_ms: int | None = None) -> DataFrame:
-    """A machine for each key over a stream (S1, S8, S13). Rows of a micro-batch are taken in order; state that is idle
-    for ttl_ms is closed and dropped (S4, S5, S16). Streams with a ttl_ms never end by themselves, as Spark plans batches
-    without rows for them; give none to those for run_all."""
-    kind = df.schema[key].dataType.simpleString()
-    names = [key, *(c.strip().split(" ")[0] for c in outputs.split(","))]
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = pickle.loads(state.get[0]) if state.exists else machine()
-        if state.hasTimedOut:
-            rows = own.close()
-            state.remove()
-        else:
-            rows = []
-            table = pd.concat(list(batches)).sort_values(order, kind="stable")
-            for row in table[inputs].itertuples(index=False, name=None):
-                rows += own.push(tuple(None if x != x else x for x in row))
-            state.update((pickle.dumps(own),))
-            if ttl_ms is not None:
-                state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(keys[0], *r) for r in rows], columns=names)
-
-    return df.select(key, *dict.fromkeys([*order, *inputs])).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {outputs}", "machine binary", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def daily_totals(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Live counts by user and day (S26), update mode."""
     return events.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("failures"))
@@ -70,13 +42,6 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
 
 
-def correlated(requests: DataFrame, responses: DataFrame, key: str, within: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """Responses joined with their requests (J12); state is bounded by the watermark."""
-    a = requests.withWatermark("ts", late).alias("a")
-    b = responses.withWatermark("ts", late).alias("b")
-    return a.join(b, F.expr(f"a.{key} = b.{key} AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {within}"))
-
-
 def run_all(df: DataFrame, checkpoint: str, out: str | Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Everything that is there, then stop (S18); to a Parquet folder or a foreachBatch function."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
