@@ -6,7 +6,7 @@ import importlib
 
 from loquent.plans import registry
 
-MODULES = ("relational", "aggregates", "functions", "intervals", "text", "folds", "transcript", "streams", "files", "flows", "extras")
+MODULES = ("relational", "aggregates", "functions", "intervals", "text", "folds", "transcript", "streams", "files", "flows", "signals", "extras")
 
 
 def _load() -> None:
