@@ -3,9 +3,9 @@
 Lengths are whole numbers up to the sequence size, so the plan works on counts by length: a table of at most `size`
 entries, whatever the number of documents. Large lengths are split into groups of equal cardinality and rounded up to
 the largest of their group. A linear program over configurations (which groups fill one sequence), solved by column
-generation, gives how often each configuration is used. Actual lengths take the places of the rounded ones, largest
-first, and the room that is left is filled best-fit with the rest, small ones last. The plan is a list of patterns
-(lengths in order, number of sequences); each piece finds its place from its rank among the pieces of its length.
+generation, gives how often each configuration is used. Actual lengths take the places of the rounded ones, the last
+place best-fit, and what that leaves is grouped and solved again; small ones are fitted last. The plan is a list of
+patterns (lengths in order, number of sequences); each piece finds its place from its rank among those of its length.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows are packed each; a document
 longer than a sequence is cut, its first piece taking what is left over; an empty table gives no sequence.
@@ -13,8 +13,9 @@ longer than a sequence is cut, its first piece taking what is left over; an empt
 
 from __future__ import annotations
 
+import math
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ from loquent.llm.scratch import Scratch
 from loquent.llm.tokens import encoder
 
 SIZE = 2048
-#: Lengths over SIZE / LARGE are grouped; the others are fitted last.
-LARGE = 16
-GROUPS = 64
+#: Lengths over SIZE / LARGE are grouped; the others are fitted last. At most so many programs are solved one after the other.
+LARGE = 5
+GROUPS = 32
+PROGRAMS, CARRIED = 12, 0.8
 #: Pieces of one length are ranked in shares of about so many rows.
 SHARE = 1000
 
@@ -114,100 +116,104 @@ class _Bins:
         return sorted((p, c) for own in self.by_room.values() for p, c in own.items())
 
 
+def _grouped(left: dict[int, int], large: list[int], groups: int) -> tuple[list[int], list[int], dict[int, int]]:
+    """Groups of equal cardinality over descending lengths: each one's largest length and how many there are, and the group
+    of each length."""
+    total, seen, last = sum(left[n] for n in large), 0, None
+    sizes: list[int] = []
+    need: list[int] = []
+    group: dict[int, int] = {}
+    for n in large:
+        own = min(groups - 1, seen * groups // total)
+        if own != last:
+            sizes.append(n)
+            need.append(0)
+            last = own
+        group[n] = len(sizes) - 1
+        need[-1] += left[n]
+        seen += left[n]
+    return sizes, need, group
+
+
+def _substituted(config: list[int], times: int, members: list[list[int]], ascending: list[int], left: dict[int, int], size: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Actual lengths in the places of a configuration, with how often: the largest of each group, and in the last place
+    the largest at all that fits, which takes up what rounding left over."""
+    while times > 0:
+        taken: dict[int, int] = {}
+        for k in config[:-1]:
+            while members[k] and not left[members[k][0]]:
+                members[k].pop(0)
+            own = next((n for n in members[k] if left[n] > taken.get(n, 0)), None)
+            if own is None:
+                return
+            taken[own] = taken.get(own, 0) + 1
+        at = bisect_right(ascending, size - sum(n * c for n, c in taken.items())) - 1
+        while at >= 0 and left[ascending[at]] <= taken.get(ascending[at], 0):
+            if not left[ascending[at]]:
+                ascending.pop(at)
+            at -= 1
+        if at < 0:
+            return
+        taken[ascending[at]] = taken.get(ascending[at], 0) + 1
+        run = min(times, *(left[n] // c for n, c in taken.items()))
+        for n, c in taken.items():
+            left[n] -= c * run
+        yield tuple(sorted((n for n, c in taken.items() for _ in range(c)), reverse=True)), run
+        times -= run
+
+
 def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS, report: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a sequence, number of such sequences) that hold exactly `counts` pieces of each length.
 
-    `report`, if given, is told the linear program's number of sequences for the rounded lengths, the share of large
-    pieces that its configurations place, and the share of sequences that were broken up and fitted again at the end.
+    As last places take larger lengths than the program foresaw, a share CARRIED of each configuration's uses is carried out, and
+    what is left is grouped and solved again. `report`, if given, is told the first program's number of sequences for the
+    rounded lengths, how many programs were solved, the share of large pieces that configurations place, and the share of
+    sequences that were broken up and fitted again at the end.
     """
     report = {} if report is None else report
-    report |= {"program": 0.0, "placed": 1.0, "refitted": 0.0}
     left = {n: c for n, c in counts.items() if c}
     bins = _Bins(size)
     bins.add((size,), left.pop(size, 0))
-    large = sorted((n for n in left if n * LARGE > size), reverse=True)
-    total = sum(left[n] for n in large)
-    if total:
-        # Groups of equal cardinality over the sorted large lengths; a group's size is its largest length.
-        group: dict[int, int] = {}
-        sizes: list[int] = []
-        need: list[int] = []
-        seen = 0
-        for n in large:
-            g = min(groups - 1, seen * groups // total)
-            if not group or group[last] != g:
-                sizes.append(n)
-                need.append(0)
-            group[n] = g
-            last = n
-            need[-1] += left[n]
-            seen += left[n]
-        index = {g: k for k, g in enumerate(dict.fromkeys(group.values()))}
-        queues: list[list[list[int]]] = [[] for _ in sizes]
-        for n in large:
-            queues[index[group[n]]].append([n, left.pop(n)])
+    total = sum(c for n, c in left.items() if n * LARGE > size)
+    report |= {"program": 0.0, "programs": 0, "placed": 1.0, "refitted": 0.0}
+    placed = 0
+    while large := sorted((n for n, c in left.items() if c and n * LARGE > size), reverse=True):
+        sizes, need, group = _grouped(left, large, groups)
         solution = configurations(sizes, need, size)
-        report["program"] = sum(times for _, times in solution)
+        report["program"] = report["program"] or sum(times for _, times in solution)
+        report["programs"] += 1
+        last = report["programs"] == PROGRAMS or sum(need) <= 2 * len(sizes)
+        members: list[list[int]] = [[] for _ in sizes]
+        for n in large:
+            members[group[n]].append(n)
+        ascending, now = large[::-1], placed
         for config, times in sorted(solution, key=lambda c: -c[1]):
-            times = int(times)
-            want = [k for k, c in enumerate(config) for _ in range(c)]
-            while times > 0 and want:
-                # Runs of equal actual lengths in every place of the configuration at once.
-                run, pattern = times, []
-                taken: dict[int, int] = {}
-                for k in want:
-                    taken[k] = taken.get(k, 0) + 1
-                if any(sum(c for _, c in queues[k]) < t for k, t in taken.items()):
-                    times = min([times, *(sum(c for _, c in queues[k]) // t for k, t in taken.items())])
-                    if not times:
-                        break
-                    run = times
-                for k, t in taken.items():
-                    heads, place = [], t
-                    if queues[k][0][1] >= t:
-                        run = min(run, queues[k][0][1] // t)
-                        heads = [queues[k][0][0]] * t
-                    else:
-                        run = 1
-                        for n, c in queues[k]:
-                            heads += [n] * min(c, place)
-                            place -= min(c, place)
-                            if not place:
-                                break
-                    pattern += heads
-                for k, t in taken.items():
-                    rest = t * run
-                    while rest:
-                        use = min(rest, queues[k][0][1])
-                        queues[k][0][1] -= use
-                        rest -= use
-                        if not queues[k][0][1]:
-                            queues[k].pop(0)
-                bins.add(tuple(sorted(pattern, reverse=True)), run)
-                times -= run
-        report["placed"] = 1 - sum(c for queue in queues for _, c in queue) / total
-        for queue in queues:
-            for n, c in queue:
-                left[n] = left.get(n, 0) + c
-    for n in sorted(left, reverse=True):
+            places = [k for k, c in enumerate(config) for _ in range(c)]
+            for pattern, run in _substituted(places, int(times) if last else math.ceil(times * CARRIED), members, ascending, left, size):
+                bins.add(pattern, run)
+                placed += run * len(pattern)
+        if last or placed == now:
+            break
+    report["placed"] = placed / total if total else 1.0
+    for n in sorted((n for n, c in left.items() if c), reverse=True):
         bins.best_fit(n, left[n])
     return _tightened(bins.patterns(), size, report)
 
 
 def _tightened(patterns: list[tuple[tuple[int, ...], int]], size: int, report: dict) -> list[tuple[tuple[int, ...], int]]:
-    """Break up the emptiest sequences and as many of those with the most short pieces, and fit their pieces again,
-    largest first, wherever that saves sequences. Where short pieces are too few to fill what rounding up left over,
-    the larger shares save sequences too, and most of the plan is fitted again."""
+    """Break up the emptiest sequences and as many of those with the most short pieces, a tenth of all at most, and fit
+    their pieces again, largest first, where that saves sequences."""
     total = sum(c for _, c in patterns)
-    for part in (0.02, 0.05, 0.1, 0.25, 0.5, 0.8):
+    for part in (0.01, 0.02, 0.05):
         emptiest = sorted((p for p in patterns if sum(p[0]) < size), key=lambda p: sum(p[0]))
         finest = sorted(patterns, key=lambda p: -sum(n * LARGE <= size for n in p[0]))
-        rest, loose, bins = dict(patterns), {}, _Bins(size)
+        rest, loose, bins, broken = dict(patterns), {}, _Bins(size), 0
         for order in (emptiest, finest):
-            budget = max(1, int(part * total))
+            budget = int(part * total)
             for pattern, _ in order:
                 use = min(rest[pattern], budget)
                 budget -= use
+                broken += use
                 rest[pattern] -= use
                 for n in pattern if use else ():
                     loose[n] = loose.get(n, 0) + use
@@ -216,8 +222,8 @@ def _tightened(patterns: list[tuple[tuple[int, ...], int]], size: int, report: d
         for n in sorted(loose, reverse=True):
             bins.best_fit(n, loose[n])
         if (now := sum(c for _, c in bins.patterns())) < total:
+            report["refitted"] = max(report["refitted"], broken / total)
             patterns, total = bins.patterns(), now
-            report["refitted"] = 2 * part
     return patterns
 
 

@@ -387,6 +387,22 @@ def test_packing_plan_of_few_short_pieces():
     assert used <= 1.01 * bound and report["placed"] > 0.99
 
 
+def test_packing_plan_of_documents():
+    """The lengths of whole tables: nearly all large pieces lie where the program put them, and at most a tenth is fitted
+    again."""
+    import pyarrow.parquet as pq
+
+    for table in ("sf0.01", "sf0.1"):
+        texts = pq.read_table(f"/root/testdata/{table}/documents.parquet", columns=["text"]).column("text").to_pylist()
+        lengths = [len(x) for x in encoded(dict(enumerate(texts))).values()]
+        counts = Counter([(n - 1) % 2048 + 1 for n in lengths])
+        counts[2048] += sum((n - 1) // 2048 for n in lengths)
+        report = {}
+        used, bound = sum(n for _, n in packing.plan(dict(counts), report=report)), -(-sum(lengths) // 2048)
+        print(f"{table}: sequences {used}, lower bound {bound}, {report}")
+        assert used <= 1.005 * bound and report["placed"] > 0.95 and report["refitted"] <= 0.1
+
+
 def test_decontamination(spark):
     item = [f"item{i}" for i in range(40)]
     swapped = [w if i % 9 else f"other{i}" for i, w in enumerate(item)]
