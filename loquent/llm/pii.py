@@ -10,8 +10,8 @@ becomes one of the same gender and script. Each spelling is filled with its key'
 the corpus, surrogates that meet each other or a key that occurs are found, and those keys get another one, until none
 meet (distinctness); after LONGER attempts surrogates get longer, so that they never run out.
 
-Persons are found by their title only, and families' names are put together from syllables: of the kinds, this one is
-the roughest.
+Persons are found by their title, or by two names where somebody is introduced ("my name is ..."); other names without a
+title are not. Families' names are put together from syllables. Of the kinds, this one is the roughest.
 
 Defined results: a null text stays null; text without entities is unchanged; repeated rows get repeated results; entities
 are found from left to right and do not overlap; a column of the input that has the new column's name is kept, and the
@@ -29,8 +29,10 @@ from loquent.llm.scratch import Scratch
 #: From this attempt on, surrogates are longer than what they stand for.
 LONGER = 6
 
-# Titles and given names by gender and script, and the patterns of the kinds.
-TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"}
+# Titles and given names by gender and script, and the patterns of the kinds. Titles of one letter and those
+# in small letters want more after them.
+TITLES = {"m": r"Mr|Herr|Monsieur|Señor|Sr|Signor|Sig|M(?=\.)|mr|Г-н|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|mrs|Г-жа|Госпожа", "n": "Dr|Prof"}
+TITLED = "|".join(TITLES.values())
 NAMES = {
     ("m", "latin"): "Adrian Bruno Carlos Daniel Emil Felix Gregor Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul Robert Simon Thomas Victor".split(),
     ("f", "latin"): "Alice Bianca Clara Diana Emma Flora Greta Helen Irene Julia Katrin Laura Marie Nina Olivia Paula Rosa Sarah Teresa Vera".split(),
@@ -49,15 +51,29 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[TtPpSsAa])(?i:(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/.]{8,}"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
-PERSON = rf"(?<![\p{{L}}])(?=[MHSFГ])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
-KINDS = {"email": EMAIL, "ip": IP, "secret": SECRET, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
+IPV6 = (
+    r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*(?:[0-9A-Fa-f]{3,4}|:[0-9A-Fa-f]+:[0-9A-Fa-f]))(?=[0-9A-Fa-f:]*[0-9])"
+    r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
+)
+# With + or 00 and a country code; ten digits in three groups; with an area code that begins with 0, nine to twelve digits.
+PHONE = (
+    r"(?<![0-9A-Za-z])(?:\+|00(?=[1-9][0-9]{0,2}[ .\-]))[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+./\-])(?=\(?0(?:[0-9]\)?[ /\-]?){8,11}(?![0-9]))(?:\(0[1-9][0-9]{1,4}\)|0[1-9][0-9]{1,4})[ /\-][0-9]{3,8}(?:[ \-][0-9]{2,5}){0,3}(?![0-9A-Za-z])"
+)
+_NAME = r"\p{Lu}[\p{L}'\-]+"
+# After a title, with initials or without; or two names where somebody is introduced.
+PERSON = (
+    rf"(?<![\p{{L}}])(?=[DFHMPSmГ])(?:{TITLED})\.? (?:(?:\p{{Lu}}\. ?)+{_NAME}|{_NAME}(?: {_NAME})?|(?<=\bmrs?\.? )\p{{Ll}}[\p{{L}}'\-]+)"
+    rf"|(?<=(?:[Mm]y name is|[Nn]ame:|I am|I'm) ){_NAME} {_NAME}"
+)
+KINDS = {"email": EMAIL, "ip": IP, "ipv6": IPV6, "secret": SECRET, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "person": PERSON}
 ALL = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a match of each kind holds; the pattern of all kinds is tried on texts with one of these only. A look ahead at one
 #: character spares the rest of a pattern at most places.
 HINTS = {
     "email": "@", "ip": r"(?=[0-9])[0-9]\.[0-9]", "iban": "(?=[A-Z])[A-Z]{2}[0-9]{2}", "ssn": "(?=[0-9])[0-9]{3}", "phone": r"(?=[0-9+])(?:\+[0-9]|[0-9]{3})",
-    "card": r"(?=[0-9])[0-9](?:[ \-]?[0-9]){12}", "secret": r"AKIA|(?=[TtPpSsAa])(?i:token|passw|secret|api_?key)", "person": rf"(?=[MHSFГ])(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}",
+    "card": r"(?=[0-9])[0-9](?:[ \-]?[0-9]){12}", "secret": r"AKIA|(?=[TtPpSsAa])(?i:token|passw|secret|api_?key)", "person": rf"(?=[DFHMPSmГ])(?:{TITLED})\.? (?:\p{{Lu}}|(?<=\bmrs?\.? )\p{{Ll}})", "ipv6": "::|(?:[0-9A-Fa-f]{1,4}:){7}",
 }
 _NUMBERS = r"(?=[0-9+A-Z])(?:[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[ \-]?[0-9]){12}|[A-Z]{2}[0-9]{2}|AKIA)"
 
@@ -65,7 +81,9 @@ _NUMBERS = r"(?=[0-9+A-Z])(?:[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[ \-]?[0-9]){
 def hinted(text: Column) -> Column:
     """Whether a text may hold an entity: by single characters first, which are cheap to look for."""
     secret = (text.contains("=") | text.contains(":")) & text.rlike(HINTS["secret"])
-    return F.coalesce(text.contains("@") | text.rlike(_NUMBERS) | secret | text.rlike(HINTS["person"]), F.lit(False))
+    address = text.contains(":") & text.rlike(HINTS["ipv6"])
+    presented = text.contains("ame is ") | text.contains("ame: ") | text.contains("I am ") | text.contains("I'm ")
+    return F.coalesce(text.contains("@") | text.rlike(_NUMBERS) | secret | address | presented | text.rlike(HINTS["person"]), F.lit(False))
 
 
 def hits(text: Column) -> Column:
@@ -74,7 +92,8 @@ def hits(text: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    out = F.lit("other")
+    # Two names without a title were found by what stands before them.
+    out = F.lit("person")
     for name, pattern in reversed(KINDS.items()):
         out = F.when(value.rlike(rf"\A(?:{pattern})\z"), name).otherwise(out)
     return out
@@ -83,8 +102,9 @@ def kind(value: Column) -> Column:
 def norm(kind: Column, value: Column) -> Column:
     """The key of an entity: what is the same for all its spellings."""
     plain = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    out = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "iban"), plain)
-    return out.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), plain)).otherwise(value)
+    out = F.when(kind.isin("email", "ipv6"), F.lower(value)).when(kind.isin("card", "ssn", "iban"), plain)
+    abroad = F.when(value.startswith("+"), F.concat(F.lit("+"), plain)).when(value.startswith("00"), F.concat(F.lit("+"), plain.substr(F.lit(3), F.length(plain))))
+    return out.when(kind == "phone", abroad.otherwise(plain)).otherwise(value)
 
 
 def _number(digest: Column, at: int, size: int = 4) -> Column:
@@ -106,7 +126,8 @@ def _shaped(value: Column, digest: Column, keep: Column) -> Column:
             return F.lit(letters).substr((own % len(letters) + 1).cast("int"), F.lit(1))
 
         swapped = F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-f]") & hexa, pick("abcdef")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
-        return F.when(i < keep, c).otherwise(swapped.when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c))
+        swapped = swapped.when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("[А-Я]"), pick("АБВГДЕЖЗИКЛМНОПРСТ"))
+        return F.when(i < keep, c).otherwise(swapped.otherwise(c))
 
     return F.array_join(F.transform(_chars(value), swap), "")
 
@@ -148,7 +169,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, digest: Column) -> C
     parts = [_number(digest, 1 + 4 * k) % 256 for k in range(3)]
     first = F.when(later, (_number(digest, 13) % 15 + 240).cast("string")).otherwise("10")
     ip = F.concat_ws(".", first, *(x.cast("string") for x in parts))
-    ip = F.when(attempt < LONGER, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *(F.substring(digest, 1 + 4 * k, 4) for k in range(6))))
+    # Later on any address that does not occur, as the reserved ones may run out.
+    ip = F.when(attempt < LONGER, ip).otherwise(F.concat_ws(".", (_number(digest, 17) % 223 + 1).cast("string"), *(x.cast("string") for x in parts)))
+    ipv6 = F.concat_ws(":", F.lit("2001:db8"), *(F.substring(digest, 1 + 4 * k, 4) for k in range(6)))
     secret = F.length(value) - F.length(F.regexp_extract(value, r"(?:AKIA)?([A-Za-z0-9_\-+/.]+)\z", 1))
     country = F.length(F.regexp_extract(value, rf"\A(\+(?:{CODES}))", 1))
     shaped = _shaped(value, digest, F.when(kind == "secret", secret).when(kind == "iban", 2).when(kind == "phone", country).when(kind == "card", 1).otherwise(0))
@@ -173,7 +196,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, digest: Column) -> C
         return F.concat(_pick(begin, digest, 1), _pick(middle, digest, 7), more, F.when(attempt >= LONGER, _pick(middle, digest, 25)).otherwise(""), _pick(end, digest, 13))
 
     family = F.when(cyrillic, built("cyrillic")).otherwise(built("latin"))
-    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "family", family).when(kind.startswith("given"), F.concat(given, second))
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "family", family).when(kind.startswith("given"), F.concat(given, second))
     return out.when(kind == "card", F.concat(card, longer)).when(kind == "iban", F.concat(iban, longer)).otherwise(F.concat(shaped, longer))
 
 
@@ -210,10 +233,13 @@ def made(keys: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 def surrogates(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """value, kind and surrogate of each distinct value."""
     value = F.col("value")
-    titles = f"{TITLES['m']}|{TITLES['f']}"
-    names = F.split(F.regexp_replace(value, rf"\A(?:{titles})\.? ", ""), " ")
-    person = F.when(F.col("kind") == "person", names)
-    male, cyrillic = value.rlike(rf"\A(?:{TITLES['m']})\.? "), F.element_at(person, -1).rlike(r"\p{IsCyrillic}")
+    title = F.regexp_extract(value, rf"\A((?:{TITLED})\.?) ", 1)
+    bare = F.regexp_replace(value, rf"\A(?:{TITLED})\.? ", "")
+    initials = F.trim(F.regexp_extract(bare, r"\A((?:\p{Lu}\. ?)+)", 1))
+    person = F.when(F.col("kind") == "person", F.split(F.regexp_replace(bare, r"\A(?:\p{Lu}\. ?)+", ""), " "))
+    cyrillic, given = F.element_at(person, -1).rlike(r"\p{IsCyrillic}"), F.when(F.size(person) > 1, F.lower(person[0]))
+    # Without a title that tells, a given name on -a or -e counts as a woman's.
+    male = F.when(title.rlike(rf"\A(?:{TITLES['m']})\.?\z") | (title == "M."), True).when(title.rlike(rf"\A(?:{TITLES['f']})\.?\z"), False).otherwise(~F.coalesce(given.rlike("[aeая]$"), F.lit(False)))
     female_end = (~male) & cyrillic & F.element_at(person, -1).endswith("а")
     family = F.lower(F.element_at(person, -1))
     values = values.withColumn("kind", kind(value)).withColumns(
@@ -221,10 +247,11 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
             "norm": norm(F.col("kind"), value),
             "domain": F.when(F.col("kind") == "email", F.lower(F.substring_index(value, "@", -1))),
             "family": F.when(female_end, family.substr(F.lit(1), F.length(family) - 1)).otherwise(family),
-            "given": F.when(F.size(person) > 1, F.lower(person[0])),
+            "given": given,
             "gender": F.when(F.col("kind") == "person", F.when(male, "given m").otherwise("given f")),
             "ending": F.when(cyrillic & ~male, "а").otherwise(""),
-            "title": F.regexp_extract(value, rf"\A(?:{titles})\.?(?= )", 0),
+            "title": F.nullif(title, F.lit("")),
+            "initials": F.when(initials != "", _shaped(initials, digest(key, F.lit("initials"), initials, F.lit(0)), F.lit(0))),
         }
     )
     values = scratch.table(values, "values")
@@ -237,9 +264,14 @@ def surrogates(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     for column, of in parts.items():
         own = table.select(F.col("kind").alias("__kind"), F.col("norm").alias("__norm"), F.col("made").alias(f"{column}_made"))
         out = out.join(own, (of == F.col("__kind")) & (F.col(column) == F.col("__norm")), "left").drop("__kind", "__norm")
-    whole = F.concat_ws(" ", "title", "given_made", F.concat("family_made", "ending"))
+    family = F.concat("family_made", "ending")
+    family = F.when(F.element_at(F.split("value", " "), -1).rlike(r"\A\p{Ll}"), F.lower(family)).otherwise(family)
+    whole = F.concat_ws(" ", "title", "initials", "given_made", family)
     address = F.concat(F.substring_index("made", "@", 1), F.lit("@"), F.col("domain_made"))
-    text = F.when(F.col("kind") == "person", whole).when(F.col("kind") == "email", address).when(F.col("kind").isin("ip", "secret"), F.col("made")).otherwise(_spelled(value, F.col("made")))
+    text = F.when(F.col("kind") == "person", whole).when(F.col("kind") == "email", address).when(F.col("kind").isin("ip", "ipv6", "secret"), F.col("made"))
+    # A number with 00 has no place for them in the key.
+    abroad = (F.col("kind") == "phone") & value.startswith("00")
+    text = text.when(abroad, F.concat(F.lit("00"), _spelled(value.substr(F.lit(3), F.length(value)), F.col("made")))).otherwise(_spelled(value, F.col("made")))
     return out.select("value", "kind", text.alias("surrogate"))
 
 
@@ -262,4 +294,4 @@ def redact(docs: DataFrame, spark: SparkSession, key: str, name: str = "entities
     some = some.withColumn("text", text)
     none = none.withColumn(name, F.expr("cast(array() as array<struct<kind: string, surrogate: string>>)"))
     columns = [F.col(f"`{c}`") for c in (*docs.columns, name)]
-    return some.select(*columns).unionByName(none.select(*columns))
+    return scratch.finish(some.select(*columns).unionByName(none.select(*columns)))

@@ -211,6 +211,32 @@ def test_surrogates_of_spellings(spark):
     assert re.fullmatch(r'api_key = "[0-9a-f]{16}', made[6][0]) or re.fullmatch(r'api_key = "[0-9a-z]{16}', made[6][0])
 
 
+def test_surrogates_of_names_and_numbers_in_other_forms(spark):
+    rows = ["Mr. J. R. Smith, Mr. John Smith, mr smith", "Dr. Anna Weber and Prof. Karl Weber", "0049 30 1234 5678 and +49 30 1234 5678", "2001:db8::1 and 2001:DB8::1 and 10.0.0.1", "My name is Maria Jones. I am Maria Jones", "Г-н И. Петров и Г-н П. Петров"]
+    _, got = redacted(spark, rows)
+    made = {d: [e.surrogate for e in r.entities] for d, r in got.items()}
+    assert re.fullmatch(r"Mr\. [A-Z]\. [A-Z]\. [A-Z][a-z]+", made[0][0]) and made[0][2].islower()
+    assert len({s.split()[-1].lower() for s in made[0]}) == 1
+    anna, karl = (s.split() for s in made[1])
+    assert anna[1] in pii.NAMES["f", "latin"] and karl[1] in pii.NAMES["m", "latin"] and anna[2] == karl[2] != "Weber"
+    assert made[2][0][:5] == "0049 " and made[2][0][2:] == made[2][1][1:] != "49 30 1234 5678"
+    assert made[3][0] == made[3][1] and re.fullmatch("2001:db8(:[0-9a-f]{4}){6}", made[3][0]) and re.fullmatch(r"10(\.\d+){3}", made[3][2])
+    assert made[4][0] == made[4][1] and made[4][0].split()[0] in pii.NAMES["f", "latin"] and "Maria" not in got[4].text
+    assert all(re.fullmatch(r"Г-н [А-Я]\. [А-Яа-я]+", s) for s in made[5])
+
+
+def test_prose_without_personal_data_stays(spark):
+    rows = ["std::vector and a::b at 12::30", "on 2024-01-02 and 01-02-2024, 0.25 of 1000", "Dr of the law, ms word, miss the bus", "item 0012345678 and order 0815 4711", "I am Here to stay. I'm sure", "Prof and Herr in lower case: herr schmidt", "ratio 1:2:3:4"]
+    _, got = redacted(spark, rows)
+    assert {d: r.text for d, r in got.items()} == dict(enumerate(rows))
+
+
+def test_addresses_stay_in_their_family(spark):
+    digest, value = F.sha2("n", 256), F.lit("10.0.0.1")
+    rows = spark.range(50).select(F.col("id").cast("string").alias("n")).select(pii.surrogate(F.lit("ip"), value, F.lit(pii.LONGER), digest).alias("late"), pii.surrogate(F.lit("ip"), value, F.lit(1), digest).alias("soon"))
+    assert all(re.fullmatch(r"\d+(\.\d+){3}", r.late) and 0 < int(r.late.split(".")[0]) < 224 <= int(r.soon.split(".")[0]) for r in rows.collect())
+
+
 def test_surrogates_never_run_out(spark):
     rows = [f"host 10.0.{i // 250}.{i % 250} mail a@x{i % 3}.de z{i}@b.c" for i in range(1500)] + [f"{c}@q.de" for c in "abcdefghijklmnopqrstuvwxyz"]
     _, got = redacted(spark, rows)
@@ -234,8 +260,10 @@ LONE = {
     "ssn": ["ssn 123-45-6789 here"],
     "phone": ["call +49 30 12 34 56 78 today", "call +47 22 12 34 56 today", "call +1 (2) 34-56 today", "call (555) 123-4567 today", "call +33.12.34 today"],
     "card": ["card 41 11 11 11 11 11 11 11 paid", "card 4-1-1-1-1-1-1-1-1-1-1-1-1 paid"],
-    "person": ["ask Mr. Smith there", "ask Г-жа Иванова there"],
+    "person": ["ask Mr. Smith there", "ask Г-жа Иванова there", "ask Dr. Anna Weber there", "ask Mr. J. R. Smith there", "ask Signora Rossi there", "ask M. Dupont there", "ask mr smith there", "My name is Mary Jones.", "Name: José Díaz"],
+    "ipv6": ["at 2001:db8::1 now", "at fe80::1:2 now", "at 1:2:3:4:5:6:7:8 now"],
 }
+LONE["phone"] += ["call 030 1234 5678 today", "call (030) 12345678 today", "call 0049 30 12 34 56 today", "call 0171/1234567 today"]
 
 
 @pytest.mark.parametrize("kind", pii.KINDS)
