@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loquent.operators import folds as D
+from loquent.plans import fold_sql as Q
 from loquent.plans.intervals_queries import TOKENS, segments, tokens
 from loquent.plans.registry import Tables, query
 
@@ -54,17 +55,17 @@ def _calls(t: Tables):
     return t.events.select(F.col("user_id").alias("service"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query("s13_breaker_keeps_failures")
+@query("s13_breaker_keeps_failures", Q.breaker(3, 86400.0))
 def _(t: Tables):
     return D.breaker(_calls(t), failures=3, rest=86400.0)
 
 
-@query("s13_breaker_clears_failures")
+@query("s13_breaker_clears_failures", Q.breaker(2, 86400.0, True, 2))
 def _(t: Tables):
     return D.breaker(_calls(t), failures=2, rest=86400.0, clear=True, trials=2)
 
 
-@query("w15_exact_restarts")
+@query("w15_exact_restarts", Q.RESTARTS)
 def _(t: Tables):
     return D.restarts(_calls(t), most=3, window=86400.0)
 
@@ -74,7 +75,7 @@ def _(t: Tables):
     return D.lines(timed(t))
 
 
-@query("w5_blank_to_silence")
+@query("w5_blank_to_silence", Q.BLANKS)
 def _(t: Tables):
     blank = F.when(F.col("seq") % 50 < 16, F.lit("[BLANK_AUDIO]")).otherwise(F.col("text"))
     return D.blanks_to_silence(timed(t).withColumn("text", blank))
@@ -90,7 +91,7 @@ def _(t: Tables):
     return I.fill_silence(ms, 4000).unionByName(I.trailing_silence(ms, F.lit(1_000_000).cast("long")))
 
 
-@query("w9_monotonic")
+@query("w9_monotonic", Q.MONOTONIC)
 def _(t: Tables):
     return D.monotonic(timed(t).withColumn("start", F.when(F.col("seq") % 7 == 3, F.col("start") - 0.4).otherwise(F.col("start"))))
 
@@ -100,7 +101,7 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", D.trim_tail(F.split("text", " ")).alias("words"))
 
 
-@query("w16_sentences")
+@query("w16_sentences", Q.SENTENCES)
 def _(t: Tables):
     return D.sentences(timed(t))
 
@@ -111,17 +112,17 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", D.merge_marks(words).alias("words"))
 
 
-@query("w19_truncate_words")
+@query("w19_truncate_words", Q.TRUNCATED)
 def _(t: Tables):
     return D.truncate_words(timed(t).withColumn("end", F.when(F.col("seq") % 9 == 0, F.col("end") + 2).otherwise(F.col("end"))), 0.35)
 
 
-@query("j6_snap_speakers")
+@query("j6_snap_speakers", Q.snapped(900, 0))
 def _(t: Tables):
     return D.snap_to_marks(tokens(t), segments(t).select("stream_id", (F.col("start_ms") + 900).alias("start_ms"), "speaker"))
 
 
-@query("j7_snap_speakers_first")
+@query("j7_snap_speakers_first", Q.snapped(0, 1))
 def _(t: Tables):
     return D.snap_to_marks(tokens(t).filter("seq > 0"), segments(t).select("stream_id", "start_ms", "speaker"))
 

@@ -84,6 +84,12 @@ def _(t: Tables):
     return I.frames_to_segments(frames, 80).select("stream_id", "start_ms", "end_ms", "speaker")
 
 
+@query("w2_frames_of_all_speakers", "WITH f AS (SELECT label AS stream_id, vec_id AS frame, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS speaker FROM embeddings), m AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER w AND (frame - lag(frame) OVER w - 1) * 80 < 40 THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY frame)), r AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY frame) AS island FROM m) SELECT stream_id, min(frame) * 80 AS start_ms, (max(frame) + 1) * 80 AS end_ms, min(speaker) AS speaker FROM r GROUP BY stream_id, island")
+def _(t: Tables):
+    frames = t.embeddings.select(F.col("label").alias("stream_id"), F.col("vec_id").alias("frame"), F.col("embedding").alias("scores"))
+    return I.frames_to_segments(frames, 80).select("stream_id", "start_ms", "end_ms", "speaker")
+
+
 @query("w3_fill_silence", f"WITH {TOKENS}, g AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS b FROM timed) SELECT stream_id, seq, start_ms, end_ms, text, speaker FROM timed UNION ALL SELECT stream_id, seq, b AS start_ms, start_ms AS end_ms, '' AS text, -2 AS speaker FROM g WHERE start_ms - b >= 1550")
 def _(t: Tables):
     return I.fill_silence(tokens(t), 1550)

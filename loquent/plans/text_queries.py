@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loquent.functions import normalize as T
+from loquent.plans.fold_sql import cues
 from loquent.plans.folds_queries import timed
 from loquent.plans.intervals_queries import TOKENS
 from loquent.plans.registry import Tables, query
@@ -80,7 +81,7 @@ def _(t: Tables):
 
 for _kind in ("txt", "vtt", "srt", "tsv", "json"):
 
-    @query(f"b{2 + ('txt', 'vtt', 'srt', 'tsv', 'json').index(_kind)}_{_kind}_cues")
+    @query(f"b{2 + ('txt', 'vtt', 'srt', 'tsv', 'json').index(_kind)}_{_kind}_cues", cues(_kind))
     def _(t: Tables, kind=_kind):
         w = Window.partitionBy("stream_id").orderBy("start")
         rows = timed(t).groupBy("stream_id", "speaker", F.floor(F.col("seq") / 20).alias("k")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
