@@ -193,4 +193,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, spark: SparkSession)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.finish(out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

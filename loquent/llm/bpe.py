@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,24 +22,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from loquent.llm import textbuf as tb
 from loquent.llm.columns import free_name
+from loquent.llm.tokens import LATE, PIECES
 
 #: Pieces remembered by a worker: about so many of late, and as many of before. Longer ones than LONG are not.
 CACHE, LONG = 250_000, 256
 #: Bytes of text whose new pieces share an index, and ids decoded at once.
 INDEXED, DECODED = 8 << 20, 1 << 20
-# How byte-level files split texts; a fixed pattern of the format, for all characters and for those of `_late`'s complement.
+# How byte-level files split texts; a fixed pattern of the format.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _KINDS = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s", ".")]
-#: Characters whose kind not all versions of Unicode agree on; the library is asked for it.
-_late = re.compile("[^\x00-\x1b\x20-\x7e\xa0-\u02ff\u0370-\u0373\u0386-\u0481]")
-
-
-def _early(category: str) -> str:
-    return "".join(re.escape(c) for c in map(chr, range(0x482)) if unicodedata.category(c)[0] == category and not _late.match(c))
-
-
-_l, _n, _s = _early("L"), _early("N"), r"\t-\r \xa0"
-_FAST = re.compile(rf" ?[{_l}]+|'(?:[stmd]|re|ve|ll)| ?[{_n}]+| ?[^{_s}{_l}{_n}]+|[{_s}]+(?![^{_s}])|[{_s}]+")
 _NONE = np.int32(1 << 30)
 
 
@@ -123,9 +112,9 @@ class Bpe:
         return self.agreed[c]
 
     def pieces(self, text: str) -> list[str]:
-        if not _late.search(text):
-            return _FAST.findall(text)
-        if all(map(self._agrees, set(_late.findall(text)))):
+        if not LATE.search(text):
+            return PIECES.findall(text)
+        if all(map(self._agrees, set(LATE.findall(text)))):
             return _PIECES.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 

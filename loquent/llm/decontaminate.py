@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from loquent.llm import textbuf as tb
-from loquent.llm.columns import with_text_column
+from loquent.llm.columns import free_name, with_text_column
 
 MASKS = ("11111", "1101101", "1110011", "11001011")
 SIMILARITY = 0.8
@@ -139,11 +139,12 @@ _LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, name: str = "leaks") -> DataFrame:
-    """The documents' columns and `name`: each benchmark item that the text contains, with similarity and place.
+    """The documents' columns and `name`: each benchmark item that the text contains, with similarity and place. A column of
+    that name (case does not count) is kept, and the new one gets underscores after its name.
 
     The text is read once per block of items and is never shuffled; one block (the usual case) adds no join.
     """
-    found = []
+    name, own, found = free_name(docs, name), docs.columns, []
     for k, index in enumerate(_blocks(benchmark)):
         shared = spark.sparkContext.broadcast(index)
 
@@ -155,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, name:
                 lists[d].append({"item_id": index.ids[i], "similarity": similarity, "start_word": start})
             return pa.array(lists, pa.list_(_LEAK))
 
-        found.append(f"__{name}_{k}")
+        found.append(free_name(docs, f"__{name}_{k}"))
         docs = with_text_column(docs, found[-1], _LEAKS, make)
-    joined = F.concat(*map(F.col, found)) if found else F.array().cast(_LEAKS)
-    return docs.withColumn(name, F.array_sort(joined)).drop(*found)
+    joined = F.concat(*(F.col(f"`{c}`") for c in found)) if found else F.array().cast(_LEAKS)
+    return docs.select(*(F.col(f"`{c}`") for c in own), F.array_sort(joined).alias(name))

@@ -115,7 +115,7 @@ def train(docs: DataFrame, most: int = FIT_DOCS) -> dict:
     """Character statistics of each value of `lang`, from about `most` rows chosen by a hash of the text."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     share = min(1.0, most / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
+    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < max(1, int(share * (1 << 40)))) if share < 1 else docs
     got = chosen.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     size = len(ORDERS) * BUCKETS

@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> dict:
     labels = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     share = min(1.0, most / max(1, labels.count()))
     # The sample is bounded by `most`, so it may be broadcast.
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < max(1, int(share * (1 << 40)))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -385,7 +385,8 @@ def _split(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def remove(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans removed (low, high), and the bytes kept, of every row of `docs`."""
     scratch = Scratch(spark)
-    spans = covered(docs, spark, scratch).withColumnRenamed("doc_id", "other")
+    # What is needed of all that: one row for each text that has repeats.
+    spans = scratch.finish(covered(docs, spark, scratch)).withColumnRenamed("doc_id", "other")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     rows = rows.join(spans, (rows["digest"] == spans["digest"]) & rows["doc_id"].eqNullSafe(spans["other"]), "left").select("doc_id", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
 

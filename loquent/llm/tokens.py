@@ -1,36 +1,39 @@
 """Token ids of whole texts with a tokenizers file, the same as the library gives for the whole text.
 
-Byte-level BPE splits a text before merging, and a single space belongs to the word after it. So between two characters
-that are no white space, a space or line break always ends a piece, and pieces can be encoded apart and remembered.
-Texts with white space next to white space are encoded whole.
+Byte-level BPE splits a text into pieces before it merges, and a piece is merged by itself. So texts are split by the
+format's pattern, and the library's model is asked once for each piece that a worker meets. Texts with characters on whose
+kind versions of Unicode may differ, or with added tokens, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces remembered by a worker: those of late, and as many of before that may be needed again. That bounds memory.
-CACHE = 600_000
-#: New pieces that are encoded as one text.
-JOINED = 256
-_double = re.compile(r"\s\s")
-#: Marks after letters up to the end of a word are a piece of their own.
-MARKS = ".,;:!?*%$&#"
-#: Letters up to here are letters in every version of Unicode that libraries may have.
-_late = re.compile(r"[^\x00-\u052f]")
-_other_space = re.compile(r"[^\S\n ]")
+#: Pieces remembered by a worker: about so many of late, and as many of before. Longer ones than LONG are not.
+CACHE, LONG = 300_000, 256
+#: Characters whose kind not all versions of Unicode agree on.
+LATE = re.compile("[^\x00-\x1b\x20-\x7e\xa0-˿Ͱ-ͳΆ-ҁ]")
+
+
+def _early(category: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x482)) if unicodedata.category(c)[0] == category and not LATE.match(c))
+
+
+_l, _n, _s = _early("L"), _early("N"), r"\t-\r \xa0"
+#: How byte-level files split texts of other characters than those: a fixed pattern of the format, with its classes spelt out.
+PIECES = re.compile(rf" ?[{_l}]+|'(?:[stmd]|re|ve|ll)| ?[{_n}]+| ?[^{_s}{_l}{_n}]+|[{_s}]+(?![^{_s}])|[{_s}]+")
 
 
 class Encoder:
     """ids(texts) gives each text's ids as bytes of little-endian unsigned integers, with `end` appended.
 
-    They have 32 bits, or with `short` 16 if the vocabulary allows that (`kind`). A piece is known by the word after a
-    space, or by a line break and the word after it.
+    They have 32 bits, or with `short` 16 if the vocabulary allows that (`kind`).
     """
 
     def __init__(self, path: str, end: int = 0, short: bool = False):
@@ -43,107 +46,48 @@ class Encoder:
         self.kind = np.dtype("<u2" if short and self.size <= 1 << 16 else "<u4")
         self.end = np.array(end, self.kind).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self._plain(["\n"])[0]
-        self.single = len(self.line) == self.kind.itemsize
-        # Where letters are a piece of their own, which the model takes as one character a byte.
         cut = str(self.tokenizer.pre_tokenizer)
         self.plain = self.tokenizer.normalizer is None and cut.startswith("ByteLevel(") and "add_prefix_space=False" in cut and "use_regex=True" in cut
+        # The character that stands for each byte; printable ones other than the space stand for themselves.
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         self.byte = dict(zip([b for b in range(256) if b not in set(shown)], range(256, 512), strict=False))
-        self.space = chr(self.byte.pop(32))
-        self.byte.pop(10)
+        self.space = chr(self.byte[32])
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, words: list[str], before: str) -> None:
-        """Learn words that stand after `before`, many in one call with a line break between two."""
-        known, after = self.known, "\n" if not before else ""
-        line, step = int(np.frombuffer(self.line, self.kind)[0]), self.kind.itemsize
-        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        lead = self.line if after else b""
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([before + ("\n" + before).join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.kind)
-            cuts = np.flatnonzero(ids == line).tolist()
-            if len(cuts) != len(group) - 1:
-                known.update(zip([after + w for w in group], [lead + x for x in self._plain([before + w for w in group])], strict=True))
-                continue
-            raw, begin = ids.tobytes(), 0
-            cuts.append(len(ids))
-            for w, cut in zip(group, cuts, strict=True):
-                known[after + w] = lead + raw[begin * step : cut * step]
-                begin = cut + 1
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Remember new pieces. Those that hold other white space, or may end or begin with it, are given back instead."""
-        known, before, odd = self.known, self.before, {}
-        if before:
-            again = new.intersection(before)
-            known.update([(w, before[w]) for w in again])
-            new.difference_update(again)
-        joined = " ".join(new)
-        rare = {w for w in new if _other_space.search(w) or any(t in w for t in self.added)} if _other_space.search(joined) or any(t in joined for t in self.added) else set()
-        rare.update(new.intersection(("", "\n")))
-        if rare:
-            new.difference_update(rare)
-            rare = list(rare)
-            alone = self._plain([w[1:] if w[:1] == "\n" else " " + w for w in rare])
-            odd = {w: self.line + x if w[:1] == "\n" else x for w, x in zip(rare, alone, strict=True)}
-        rest, late = new, bool(_late.search(joined))
-        if self.plain:
-            rest, stems, marked = [], set(), []
-            for w in new:
-                stem = w.rstrip(MARKS)
-                letters = stem[1:] if stem[:1] == "\n" else stem
-                if letters.isalpha() and not (late and _late.search(letters)):
-                    if stem not in known:
-                        stems.add(stem)
-                    if len(stem) < len(w):
-                        marked.append((w, stem, w[len(stem) :]))
-                else:
-                    rest.append(w)
-            self._letters(list(stems))
-            runs = list({m for _, _, m in marked}.difference(self.marks))
-            self.marks.update(zip(runs, self._plain(runs), strict=True))
-            known.update([(w, known[stem] + self.marks[m]) for w, stem, m in marked])
-        self._encode([w for w in rest if w[0] != "\n"], " ")
-        self._encode([w[1:] for w in rest if w[0] == "\n"], "")
-        return odd
-
-    def _letters(self, words: list[str]) -> None:
-        """Learn words of letters alone, each of which is one piece to the model."""
-        known, model, kind = self.known, self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
-        heads, tails = [w for w in words if w[0] == "\n"], [w for w in words if w[0] != "\n"]
-        for own, before, lead in ((heads, "", self.line), (tails, self.space, b"")):
-            written = "".join([w[1:] + "\n" if lead else w + "\n" for w in own]).encode().decode("latin-1").translate(self.byte).split("\n")
-            known.update([(w, lead + array(kind, [t.id for t in model(before + x)]).tobytes()) for w, x in zip(own, written, strict=False)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, each of which is one word to the model."""
+        model, kind = self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        written = [p.replace(" ", self.space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte) for p in pieces]
+        return [array(kind, [t.id for t in model(w)]).tobytes() for w in written]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known, self.before, self.marks = {}, self.known, {}
-        known, at, skip = self.known, self.known.__getitem__, len(self.line)
+            self.known, self.before = {}, self.known
+        known, before, met = self.known, self.before, set()
         out: list[bytes | None] = []
-        later: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
+        split: list[list[str]] = []
         for t in texts:
-            words = f"\n{t}".replace("\n", " \n")[1:].split(" ")
-            try:
-                out.append(b"".join(map(at, words))[skip:] + self.end)
-            except KeyError:
-                if not self.single or _double.search(t):
-                    out.append(self._plain([t])[0] + self.end)
-                else:
-                    later.append((len(out), words))
-                    new.update(set(words).difference(known))
-                    out.append(None)
-        if later:
-            odd = self._learn(new)
-            for k, words in later:
-                out[k] = b"".join([known[w] if w in known else odd[w] for w in words] if odd else map(at, words))[skip:] + self.end
-        return out
+            if self.plain and not LATE.search(t) and not any(a in t for a in self.added):
+                found = PIECES.findall(t)
+                met.update(found)
+                split.append(found)
+                out.append(None)
+            else:
+                out.append(self._whole(t) + self.end)
+        missing = met.difference(known)
+        again = missing.intersection(before)
+        known.update((p, before[p]) for p in again)
+        new = list(missing - again)
+        long = {}
+        for p, ids in zip(new, self._learn(new), strict=True):
+            (known if len(p) <= LONG else long)[p] = ids
+        at = (known | long).__getitem__ if long else known.__getitem__
+        rest = iter(split)
+        return [b"".join(map(at, next(rest))) + self.end if x is None else x for x in out]
 
 
 @lru_cache(maxsize=2)

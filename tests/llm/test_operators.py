@@ -459,6 +459,48 @@ def test_decontamination_leaves_other_documents_alone(run, spark, edged, texts):
             assert len(set(items[i]) & set(words(texts[r.doc_id]))) >= 0.8 * min(len(set(items[i])), decontaminate.RUN) - 1
 
 
+def test_decontamination_equals_exhaustive_alignment(run, spark, edged, texts):
+    """Over all shifts of every item against every text: what one shift shows must be found, and nothing beyond what shifts
+    that lie near each other show together."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER))
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{edged}/benchmark.parquet").collect()}
+    found = {(r.doc_id, i) for r in run("op6_decontaminate").collect() for i in r.item_ids}
+
+    def share(hit: list[bool]) -> float:
+        most = sum(hit) / len(hit)
+        return max(most, *(sum(hit[k : k + decontaminate.RUN]) / decontaminate.RUN for k in range(len(hit) - decontaminate.RUN + 1))) if len(hit) > decontaminate.RUN else most
+
+    surely, maybe = set(), set()
+    for d, text in texts.items():
+        places = defaultdict(list)
+        for k, w in enumerate(words(text)):
+            places[w].append(k)
+        for i, item in items.items():
+            shifts = defaultdict(set)
+            for j, w in enumerate(item):
+                for k in places.get(w, ()):
+                    shifts[k - j].add(j)
+            if not item or len(set().union(*shifts.values())) < 0.8 * min(len(item), decontaminate.RUN):
+                continue
+            if any(share([j in own for j in range(len(item))]) >= 0.8 for own in shifts.values() if len(own) >= 0.8 * min(len(item), decontaminate.RUN)):
+                surely.add((d, i))
+            group, last = set(), None
+            for shift in sorted(shifts):
+                group = group | shifts[shift] if last is not None and shift - last <= decontaminate.DRIFT else set(shifts[shift])
+                last = shift
+                if len(group) >= 0.8 * min(len(item), decontaminate.RUN) and share([j in group for j in range(len(item))]) >= 0.8:
+                    maybe.add((d, i))
+                    break
+    assert surely and surely <= found <= maybe
+
+
+def test_decontamination_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "so short an item", "mine", "too")], "doc_id long, text string, leaks string, __leaks__0 string")
+    out = decontaminate.find_leaks(docs, spark.createDataFrame([(7, "so short an item")], "item_id long, text string"), spark)
+    row = out.first()
+    assert out.columns == ["doc_id", "text", "leaks", "__leaks__0", "leaks_"] and (row.leaks, row.leaks_[0].item_id) == ("mine", 7)
+
+
 def test_decontamination_finds_whole_items(run, spark, edged, texts):
     words = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)))
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{edged}/benchmark.parquet").collect()}
