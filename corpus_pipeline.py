@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquent.llm import decontaminate, neardup, packing, pii, quality
+from loquent.llm.columns import free_name
 from loquent.llm.queries import PII_KEY, tokenizer
 from loquent.llm.scratch import Scratch
 
@@ -36,8 +37,8 @@ def _names(docs: DataFrame) -> list:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = quality.train(docs, _read(spark, sf_dir, "labels"))
-    scored = quality.score_rows(docs, model, spark, "__quality")
-    return scored.filter(F.col("__quality") >= quality.CUT).drop("__quality")
+    name = free_name(docs, "quality_score")
+    return quality.score_rows(docs, model, spark, name).filter(F.col(name) >= quality.CUT).drop(name)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = NEAR_PERCENT) -> DataFrame:
@@ -45,20 +46,21 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int
 
     Rows without a doc_id stay, as they can stand for no group.
     """
-    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark, percent).filter("kept and doc_id is not null").select("doc_id", F.col("text_digest").alias("__text")).distinct()
-    rows = docs.filter("doc_id is not null").withColumn("__text", F.xxhash64("text")).join(kept, ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"])
+    name = free_name(docs, "text_hash")
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), spark, percent).filter("kept and doc_id is not null").select("doc_id", F.col("text_digest").alias(name)).distinct()
+    rows = docs.filter("doc_id is not null").withColumn(name, F.xxhash64("text")).join(kept, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
     return rows.select(*_names(docs)).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, _read(spark, sf_dir, "benchmark"), spark, "__leaks")
-    return leaks.filter(F.size("__leaks") == 0).drop("__leaks")
+    name = free_name(docs, "leaks")
+    return decontaminate.find_leaks(docs, _read(spark, sf_dir, "benchmark"), spark, name).filter(F.size(name) == 0).drop(name)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data."""
-    return pii.redact(docs, spark, PII_KEY, "__entities").select(*_names(docs))
+    return pii.redact(docs, spark, PII_KEY).select(*_names(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
