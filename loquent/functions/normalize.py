@@ -1,12 +1,12 @@
-"""Text normalisers. Patterns run in the JVM; only what has no built-in (Unicode forms, number words, zlib, HMAC) is an
+"""Text normalisers. Patterns run in the JVM; only what has no built-in (Unicode forms, number words, zlib) is an
 Arrow-batched pandas UDF."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,14 +108,11 @@ def compression_ratio(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else len(t.encode()) / len(zlib.compress(t.encode())))
 
 
-def signature(key: str):
-    """HMAC-SHA256 in hex."""
-
-    @F.pandas_udf(StringType())
-    def sign(payloads: pd.Series) -> pd.Series:
-        return _each(payloads, lambda p: hmac.new(key.encode(), p.encode(), hashlib.sha256).hexdigest())
-
-    return sign
+def signature(key: str) -> Callable[[str], Column]:
+    """HMAC-SHA256 of a column in hex (T21, B22): a digest around a digest, each with the key's own pad. Null stays null."""
+    held = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    inner, outer = (F.lit(bytes(b ^ pad for b in held.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return lambda column: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(column, "UTF-8")), 256))), 256)
 
 
 def sentences(text: Column) -> Column:

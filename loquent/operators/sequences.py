@@ -61,14 +61,41 @@ def merge_marks(words: list[str], before: str = "\"'“¿([{-", after: str = "\"
     return words
 
 
+_BASE = 0x9E3779B97F4A7C55
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _prefix_sums(text: str) -> np.ndarray:
+    """Sums from which a hash of every stretch of the text follows; see common_substring."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = (codes ^ (codes << np.uint64(17)) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xBF58476D1CE4E5B9)
+    powers = np.full(len(codes), _BASE, np.uint64)
+    powers[:1] = 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * np.multiply.accumulate(powers))])
+
+
 def common_substring(a: str, b: str) -> str:
-    """The longest common substring, the first of several in `a`."""
-    best, at = 0, 0
-    for i in range(len(a)):
-        # Only what is longer than the best so far is looked for, so there are at most len(a) + best searches of `b`.
-        while i + best < len(a) and a[i : i + best + 1] in b:
-            best, at = best + 1, i
-    return a[at : at + best]
+    """The longest common substring, the first of several in `a`.
+
+    If two texts share a stretch of some length, they share a shorter one; so the length is found by halving. Stretches of a
+    length are compared by hash, all at once, and what is taken is compared itself.
+    """
+    short, long, at = 0, min(len(a), len(b)), 0
+    if not long:
+        return ""
+    sums, others = _prefix_sums(a), _prefix_sums(b)
+    back = np.full(max(len(a), len(b)) + 1, _INVERSE, np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    while short < long:
+        n = (short + long + 1) // 2
+        own, other = ((x[n:] - x[:-n]) * back[: len(x) - n] for x in (sums, others))
+        found = next((int(i) for i in np.flatnonzero(np.isin(own, other)) if a[i : i + n] in b), None)
+        if found is None:
+            long = n - 1
+        else:
+            short, at = n, found
+    return a[at : at + short]
 
 
 def wrap_cues(words: list[tuple[float, float, str]], width: int = 42, lines: int = 2, pause: float = 3.0) -> list[tuple[float, float, str]]:

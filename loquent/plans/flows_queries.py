@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquent.operators import machines as M
+from loquent.plans import fold_sql as Q
 from loquent.plans.registry import Tables, query
 from loquent.plans.streams_queries import STEPS, in_steps, work_folder
 from loquent.streaming import flows as W
@@ -119,7 +120,7 @@ def resets(t: Tables) -> DataFrame:
     return timed(t).select("event_id", "user_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("event_type") == "purchase").alias("output"))
 
 
-@query("s4_no_output_resets")
+@query("s4_no_output_resets", Q.RESETS)
 def _(t: Tables):
     """Buffers of half a day without output start anew; events come up to an hour out of order."""
     out = work_folder(t)

@@ -70,3 +70,30 @@ SELECT service, "at", state, passed FROM r WHERE i > 0"""
 RESTARTS = f"""WITH RECURSIVE {_CALLS}, r AS (SELECT service, 0 :: BIGINT AS i, 0 :: DOUBLE AS "at", false AS allowed, [] :: DOUBLE[] AS times FROM calls WHERE i = 1 UNION ALL
 SELECT service, i, "at", len(times) < 3, CASE WHEN len(times) < 3 THEN list_append(times, "at") ELSE times END FROM (SELECT c.service, c.i, c."at", list_filter(r.times, lambda t: c."at" - t < 86400) AS times FROM r JOIN calls c ON c.service = r.service AND c.i = r.i + 1))
 SELECT service, "at", allowed FROM r WHERE i > 0"""
+
+
+def voice(frames: str) -> str:
+    """Frames (stream_id, sample, prob): on from 0.5 on, off once 2,048 samples passed since it fell below 0.35; both padded
+    by 1,600."""
+    return f"""WITH RECURSIVE f AS ({frames}), n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sample) AS i FROM f),
+r AS (SELECT stream_id, 0 :: BIGINT AS i, false AS active, 0 :: BIGINT AS since, NULL :: VARCHAR AS event, NULL :: BIGINT AS sample FROM n WHERE i = 1 UNION ALL
+SELECT stream_id, i, CASE WHEN prob >= 0.5 THEN true WHEN ends THEN false ELSE active END, CASE WHEN prob >= 0.5 OR ends THEN 0 ELSE since END,
+ CASE WHEN prob >= 0.5 AND NOT active THEN 'start' WHEN ends THEN 'end' END, CASE WHEN prob >= 0.5 AND NOT active THEN sample - 1600 WHEN ends THEN since + 1600 END
+FROM (SELECT *, active AND prob < 0.35 AND sample - since >= 2048 AS ends FROM (SELECT n.stream_id, n.i, n.sample, n.prob, r.active, CASE WHEN r.active AND n.prob < 0.35 AND r.since = 0 THEN n.sample ELSE r.since END AS since FROM r JOIN n ON n.stream_id = r.stream_id AND n.i = r.i + 1)))
+SELECT stream_id, event, sample FROM r WHERE event IS NOT NULL"""
+
+
+VOICE = voice("SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) * 512 AS sample, value / 50 AS prob FROM events")
+STREAMED_VOICE = voice("SELECT user_id AS stream_id, event_id * 512 AS sample, value / 50 AS prob FROM events")
+
+RESETS = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS moment, event_type = 'purchase' AS output, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+r AS (SELECT user_id, 0 :: BIGINT AS i, NULL :: DOUBLE AS moment, NULL :: DOUBLE AS begin, NULL :: DOUBLE AS last, false AS reset, NULL :: DOUBLE AS ended FROM e WHERE i = 1 UNION ALL
+SELECT user_id, i, moment, CASE WHEN late THEN moment ELSE begin END, CASE WHEN output THEN moment WHEN late THEN NULL ELSE last END, late, CASE WHEN late THEN begin END
+FROM (SELECT *, NOT output AND moment - begin > 43200 AND (last IS NULL OR moment - last > 43200) AS late FROM (SELECT e.user_id, e.i, e.moment, e.output, coalesce(r.begin, e.moment) AS begin, r.last FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+SELECT user_id, moment AS "at", ended AS begin FROM r WHERE reset"""
+
+# Of every size of block, how many words at the end equal those one block earlier.
+TRIMMED = """WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations), t AS (SELECT *, words[greatest(1, len(words) - 299):] AS x FROM c), s AS (SELECT conv_id, turn, x, len(x) AS n, unnest(range(1, len(x) // 2 + 1)) AS size FROM t),
+m AS (SELECT conv_id, turn, size, coalesce(min(k), any_value(n) - size) // size + 1 AS copies FROM s LEFT JOIN range(300) p(k) ON k < n - size AND x[n - k] <> x[n - k - size] GROUP BY 1, 2, 3),
+b AS (SELECT conv_id, turn, arg_max((copies - 1) * size, copies * size * 1000 - size) AS cut FROM m WHERE copies > 1 GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CASE WHEN cut IS NULL THEN words ELSE words[:len(words) - cut] END AS words FROM c LEFT JOIN b ON b.conv_id = c.conv_id AND b.turn = c.turn"""

@@ -45,7 +45,7 @@ def _(t: Tables):
     return D.agree(hypotheses(t)).filter("not agreed")
 
 
-@query("s8_voice_activity")
+@query("s8_voice_activity", Q.VOICE)
 def _(t: Tables):
     frames = t.events.select(F.col("user_id").alias("stream_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) * 512).cast("long").alias("sample"), (F.col("value") / 50).alias("prob"))
     return D.voice_activity(frames, quiet=2048)
@@ -96,7 +96,7 @@ def _(t: Tables):
     return D.monotonic(timed(t).withColumn("start", F.when(F.col("seq") % 7 == 3, F.col("start") - 0.4).otherwise(F.col("start"))))
 
 
-@query("w10_trim_tail")
+@query("w10_trim_tail", Q.TRIMMED)
 def _(t: Tables):
     return t.conversations.select("conv_id", "turn", D.trim_tail(F.split("text", " ")).alias("words"))
 

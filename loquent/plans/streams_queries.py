@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquent.operators import machines as M
+from loquent.plans import fold_sql as Q
 from loquent.plans.registry import Tables, query
 from loquent.streaming import flows as W
 from loquent.streaming import streams as S
@@ -70,13 +71,13 @@ def _(t: Tables):
     return _kept(t, S.sessions(_events(t)), "complete").select("user_id", "n", F.col("s.start").cast("timestamp_ntz").alias("begin"))
 
 
-@query("s8_streamed_voice_activity")
+@query("s8_streamed_voice_activity", Q.STREAMED_VOICE)
 def _(t: Tables):
     """Frames come in three steps, up to an hour out of order; a user's sound is one stream."""
     return _in_order(t, ["sample"], ["sample", "prob"], lambda: M.VoiceActivity(quiet=2048), "event string, sample long", lambda events: events.select("event_id", F.col("user_id").alias("stream_id"), "ts", (F.col("event_id") * 512).alias("sample"), (F.col("value") / 50).alias("prob")))
 
 
-@query("s13_streamed_breaker")
+@query("s13_streamed_breaker", Q.breaker(3, 86400.0))
 def _(t: Tables):
     """Calls come in three steps, up to an hour out of order."""
     calls = lambda events: events.select("event_id", F.col("user_id").alias("service"), "ts", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))

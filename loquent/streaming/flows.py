@@ -126,8 +126,9 @@ def in_order(rows: DataFrame, key: str, order: Sequence[str], inputs: Sequence[s
     without rows for so long is told by `quiet(last_ms, noticed_ms)`, at the time of a timer. At the end of the stream
     machines are closed. State is a machine and the rows of the last `late` for each key.
     """
-    # The one provider that has timers.
+    # The one provider that has timers; a batch writes what changed, not whole files.
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     kept = list(dict.fromkeys([*order, *inputs]))
     slim = watermarked(rows, late, ts).select(key, ts, F.unix_millis(ts).alias(ts + "_ms"), *(c for c in kept if c not in (key, ts, ts + "_ms")))
     pending = StructType([StructField(f.name, f.dataType) for f in slim.schema.fields if f.name != ts and (f.name != key or key in kept)])
