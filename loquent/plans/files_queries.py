@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loquent.plans import fold_sql as Q
 from loquent.plans.registry import Tables, query
 from loquent.plans.streams_queries import work_folder
 from loquent.sources import files as S
@@ -81,7 +82,7 @@ def _(t: Tables):
     return rows.select("event_id", "state", "attempts")
 
 
-@query("b7_written_subtitles")
+@query("b7_written_subtitles", Q.SUBTITLES)
 def _(t: Tables):
     """The lines of all streams' subtitle files of one kind."""
     from loquent.plans.folds_queries import timed

@@ -97,3 +97,19 @@ TRIMMED = """WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS words F
 m AS (SELECT conv_id, turn, size, coalesce(min(k), any_value(n) - size) // size + 1 AS copies FROM s LEFT JOIN range(300) p(k) ON k < n - size AND x[n - k] <> x[n - k - size] GROUP BY 1, 2, 3),
 b AS (SELECT conv_id, turn, arg_max((copies - 1) * size, copies * size * 1000 - size) AS cut FROM m WHERE copies > 1 GROUP BY 1, 2)
 SELECT c.conv_id, c.turn, CASE WHEN cut IS NULL THEN words ELSE words[:len(words) - cut] END AS words FROM c LEFT JOIN b ON b.conv_id = c.conv_id AND b.turn = c.turn"""
+
+# Blank markers as silence, then gaps of four seconds inside a stream and of eight at its end.
+SILENCES = BLANKS.replace(
+    "\nSELECT stream_id, seq, start", ",\nq AS (SELECT stream_id, seq, start", 1
+) + """), m AS (SELECT stream_id, seq, CAST(round(start * 1000) AS BIGINT) AS start_ms, CAST(round("end" * 1000) AS BIGINT) AS end_ms, text, speaker FROM q), g AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS before FROM m)
+SELECT * FROM m UNION ALL SELECT stream_id, seq, before, start_ms, '', -2 FROM g WHERE start_ms - before >= 4000 UNION ALL SELECT stream_id, max(seq), max(end_ms), 1000000, '', -2 FROM m GROUP BY stream_id HAVING 1000000 - max(end_ms) >= 8000"""
+
+# A line goes on until another speaker follows a mark; the number of a token's line and its speaker are the state.
+LINES = f"""WITH RECURSIVE {SECONDS}, k AS (SELECT *, trim(text, {_SPACES}) IN ('.', '!', '?') AS mark FROM tt),
+r AS (SELECT stream_id, seq, 0 :: BIGINT AS line, speaker AS own, mark FROM k WHERE seq = 0 UNION ALL
+SELECT stream_id, seq, line + CASE WHEN splits THEN 1 ELSE 0 END, CASE WHEN splits THEN speaker ELSE own END, mark FROM (SELECT k.stream_id, k.seq, k.mark, k.speaker, r.line, r.own, k.speaker <> r.own AND (r.mark OR k.speaker = -2 OR r.own = -2) AS splits FROM r JOIN k ON k.stream_id = r.stream_id AND k.seq = r.seq + 1)),
+f AS (SELECT *, seq = min(seq) OVER (PARTITION BY stream_id, line) AS leads FROM r JOIN tt USING (stream_id, seq))
+SELECT stream_id, line, min(start) FILTER (leads) AS start, arg_max("end", seq) FILTER (leads OR text <> '') AS "end", string_agg(CASE WHEN leads THEN text ELSE ' ' || text END, '' ORDER BY seq) FILTER (leads OR text <> '') AS text, any_value(own) AS speaker FROM f GROUP BY stream_id, line"""
+
+#: A cue in a file is its number, its times, its text and an empty line.
+SUBTITLES = f"WITH {TOKENS} SELECT stream_id, CAST(sum(4 + length(trim(text)) - length(replace(trim(text), chr(10), ''))) AS BIGINT) AS lines, count(*) AS cues FROM timed GROUP BY 1"

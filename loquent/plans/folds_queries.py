@@ -70,7 +70,7 @@ def _(t: Tables):
     return D.restarts(_calls(t), most=3, window=86400.0)
 
 
-@query("w7_lines")
+@query("w7_lines", Q.LINES)
 def _(t: Tables):
     return D.lines(timed(t))
 
@@ -81,7 +81,7 @@ def _(t: Tables):
     return D.blanks_to_silence(timed(t).withColumn("text", blank))
 
 
-@query("w6_silences")
+@query("w6_silences", Q.SILENCES)
 def _(t: Tables):
     from loquent.operators import intervals as I
 

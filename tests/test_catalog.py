@@ -14,6 +14,11 @@ import pytest
 
 from loquent.plans import catalog
 
+#: Queries without SQL: machine, text and alignment work that test_plain_queries and test_folds_queries hold against plain Python.
+ELSEWHERE = {
+    "n9_time_warp", "s1_confident_agreement", "s1_local_agreement", "s27_silence_policies", "s3_buffer_trimming", "s5_end_of_stream", "t19_cue_layout", "t1_diacritics", "t23_common_substring", "t2_symbols",
+    "t3_basic_normalizer", "t4_graphemes", "t5_english_contractions", "t6_number_words", "t7_english_normalizer", "t9_compression_ratio", "w18_merge_marks", "w7_lines_without_speakers", "w7_speaker_lines",
+}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = catalog.oracle_sql()
 
@@ -51,7 +56,7 @@ def test_query(spark, sf_dir, con, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
-        assert len(got) and len(got.columns)
+        assert name in ELSEWHERE and len(got) and len(got.columns)
 
 
 def test_entry_without_the_training_operators(spark, sf_dir, monkeypatch):
