@@ -30,7 +30,7 @@ def steps(rows: DataFrame, by: Column, many: int) -> Column:
     if low is None:
         return F.lit(0)
     step = F.floor((by - F.lit(low)) * many / F.lit(high - low + 1)).cast("int")
-    return F.coalesce(F.least(step, F.lit(many - 1)), F.lit(0))
+    return F.when(by.isNull(), 0).otherwise(F.least(step, F.lit(many - 1)))
 
 
 def landing(spark: SparkSession, folder: str) -> str:
