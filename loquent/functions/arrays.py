@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,21 +34,32 @@ def pad_or_trim(x: Column, length: int) -> Column:
     return F.slice(F.concat(x.cast("array<float>"), zeros), 1, length)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: what a lambda takes from outside is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def zscores(x: Column) -> Column:
-    """Values less their mean over their population deviation."""
-    mean = total(x) / F.size(x)
-    spread = F.sqrt(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x))
-    return F.transform(x, lambda v: (v - mean) / spread)
+    """Values less their mean over their population deviation (N10); nulls stay, and without deviation all are NaN."""
+    kept = F.filter(x, lambda v: v.isNotNull())
+    count = F.nullif(F.size(kept), F.lit(0))
+
+    def about(mean: Column) -> Column:
+        spread = F.sqrt(F.aggregate(kept, F.lit(0.0).cast("double"), lambda a, v: a + (v - mean) * (v - mean)) / count)
+        return bound(spread, lambda s: F.transform(x, lambda v: F.when(s == 0, F.lit(float("nan"))).otherwise((v - mean) / s)))
+
+    return bound(total(kept) / count, about)
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    return F.transform(x, lambda v: F.exp(v.cast("double") - top) / F.aggregate(x, F.lit(0.0).cast("double"), lambda a, w: a + F.exp(w.cast("double") - top)))
+    def over(top: Column) -> Column:
+        return bound(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, w: a + F.exp(w.cast("double") - top)), lambda s: F.transform(x, lambda v: F.exp(v.cast("double") - top) / s))
+
+    return bound(F.array_max(x), over)
 
 
 def logsumexp(x: Column) -> Column:
-    top = F.array_max(x).cast("double")
-    return top + F.log(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, w: a + F.exp(w.cast("double") - top)))
+    return bound(F.array_max(x).cast("double"), lambda top: top + F.log(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, w: a + F.exp(w.cast("double") - top))))
 
 
 def median_filter(x: Column, width: int) -> Column:
