@@ -63,11 +63,13 @@ def uptime(seconds: Column) -> Column:
     return F.when(text == "", "0s").otherwise(text)
 
 
-def file_size(n: Column) -> Column:
-    """`1.5 KB`, two places without trailing zeros (N16); exact powers, no logarithm."""
-    units = ("Bytes", "KB", "MB", "GB", "TB")
+UNITS = ("Bytes", "KB", "MB", "GB", "TB")
+
+
+def file_size(n: Column, largest: str = "TB") -> Column:
+    """`1.5 KB`, two places without trailing zeros (N16); exact powers, no logarithm. `largest` is the last unit to be used."""
     out = F.lit("0 Bytes")
-    for k, unit in enumerate(units):
+    for k, unit in enumerate(UNITS[: UNITS.index(largest) + 1]):
         number = F.regexp_replace(F.format_string("%.2f", n.cast("double") / float(1024**k)), r"\.?0+$", "")
         out = F.when(n >= 1024**k, F.concat(number, F.lit(f" {unit}"))).otherwise(out)
     return out
