@@ -18,11 +18,12 @@ from loquent.operators import machines as M
 from loquent.operators import sequences as Q
 
 
-def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str) -> DataFrame:
+def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Callable[[], object], outputs: str, arranged: bool = False) -> DataFrame:
     """`machine()` for each key; push(row) and close() give tuples of `outputs` (a schema without the key).
 
     A null key is a key of its own, after the sort before all others. Nulls and NaN of inputs come as None; whole numbers
-    stay whole, whatever their size.
+    stay whole, whatever their size. With `arranged`, rows lie by key and order in their partitions already, as rows do that
+    were made from sorted ones without a shuffle since: nothing is dealt or sorted again, so no task holds its rows.
     """
     schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(outputs).fields])
     arrow = to_arrow_schema(schema)
@@ -45,18 +46,19 @@ def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine:
         if state is not None:
             yield batch_of([(own, *r) for r in state.close()])
 
-    return df.select(key, *dict.fromkeys([*order, *inputs])).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    rows = df.select(key, *dict.fromkeys([*order, *inputs]))
+    return (rows if arranged else rows.repartition(key).sortWithinPartitions(key, *order)).mapInArrow(run, schema)
 
 
-def agree(hypotheses: DataFrame, sure: float | None = None, policy: str = "pad") -> DataFrame:
+def agree(hypotheses: DataFrame, sure: float | None = None, policy: str = "pad", arranged: bool = False) -> DataFrame:
     """stream_id and the committed tokens; with `agreed` false, what was left at the end (S1, S5). Rows without text are
     silences from start to end, taken by `policy` (S27)."""
-    return fold(hypotheses, "stream_id", ["hyp_id", "pos"], ["hyp_id", "pos", "start", "end", "text", "probability"], lambda: M.Agreement(sure, policy), "hyp_id long, pos long, start double, end double, text string, probability double, agreed boolean")
+    return fold(hypotheses, "stream_id", ["hyp_id", "pos"], ["hyp_id", "pos", "start", "end", "text", "probability"], lambda: M.Agreement(sure, policy), "hyp_id long, pos long, start double, end double, text string, probability double, agreed boolean", arranged)
 
 
-def trimmed(rows: DataFrame, limit: float, way: str = "sentence") -> DataFrame:
+def trimmed(rows: DataFrame, limit: float, way: str = "sentence", arranged: bool = False) -> DataFrame:
     """stream_id, iteration, where its buffer is cut, how many committed tokens are forgotten, and why."""
-    return fold(rows, "stream_id", ["iteration", "seq", "kind"], ["iteration", "kind", "at", "text"], lambda: M.Trim(limit, way), "iteration long, cut double, forgotten long, reason string")
+    return fold(rows, "stream_id", ["iteration", "seq", "kind"], ["iteration", "kind", "at", "text"], lambda: M.Trim(limit, way), "iteration long, cut double, forgotten long, reason string", arranged)
 
 
 def voice_activity(frames: DataFrame, **settings: float) -> DataFrame:
@@ -74,31 +76,43 @@ def restarts(attempts: DataFrame, **policy: object) -> DataFrame:
 _TOKEN = ["seq", "start", "end", "text"]
 
 
-def lines(tokens: DataFrame) -> DataFrame:
-    return fold(tokens, "stream_id", ["seq"], [*_TOKEN, "speaker"], M.Lines, "line long, start double, end double, text string, speaker int")
+def lines(tokens: DataFrame, arranged: bool = False) -> DataFrame:
+    return fold(tokens, "stream_id", ["seq"], [*_TOKEN, "speaker"], M.Lines, "line long, start double, end double, text string, speaker int", arranged)
 
 
-def speaker_lines(tokens: DataFrame, attributed: bool = True) -> DataFrame:
-    """tokens: stream_id, seq, start, end, text, speaker, horizon. The last token's speaker is told to all of a stream."""
+def speaker_lines(tokens: DataFrame, attributed: bool = True, arranged: bool = False) -> DataFrame:
+    """tokens: stream_id, seq, start, end, text, speaker, horizon. The last token's speaker is told to all of a stream, unless
+    the caller does so as `last_speaker`, which rows that stay arranged need."""
     whole = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = tokens.withColumn("last_speaker", F.last("speaker").over(whole))
-    return fold(rows, "stream_id", ["seq"], ["start", "end", "text", "speaker", "horizon", "last_speaker"], lambda: M.SpeakerLines(attributed), "line long, start double, end double, text string, speaker int, behind double")
+    rows = tokens if "last_speaker" in tokens.columns else tokens.withColumn("last_speaker", F.last("speaker").over(whole))
+    return fold(rows, "stream_id", ["seq"], ["start", "end", "text", "speaker", "horizon", "last_speaker"], lambda: M.SpeakerLines(attributed), "line long, start double, end double, text string, speaker int, behind double", arranged)
 
 
-def blanks_to_silence(tokens: DataFrame, least: float = 4.0) -> DataFrame:
-    return fold(tokens, "stream_id", ["seq"], _TOKEN, lambda: M.Blanks(least), "seq long, start double, end double, text string, speaker int")
+def blanks_to_silence(tokens: DataFrame, least: float = 4.0, arranged: bool = False) -> DataFrame:
+    return fold(tokens, "stream_id", ["seq"], _TOKEN, lambda: M.Blanks(least), "seq long, start double, end double, text string, speaker int", arranged)
 
 
-def monotonic(tokens: DataFrame) -> DataFrame:
-    return fold(tokens, "stream_id", ["seq"], ["seq", "start", "end"], M.Monotonic, "seq long, start double, end double")
+def monotonic(tokens: DataFrame, arranged: bool = False) -> DataFrame:
+    return fold(tokens, "stream_id", ["seq"], ["seq", "start", "end"], M.Monotonic, "seq long, start double, end double", arranged)
 
 
-def sentences(tokens: DataFrame) -> DataFrame:
-    return fold(tokens, "stream_id", ["seq"], _TOKEN, M.Sentences, "sentence long, start double, end double, text string")
+def sentences(tokens: DataFrame, arranged: bool = False) -> DataFrame:
+    return fold(tokens, "stream_id", ["seq"], _TOKEN, M.Sentences, "sentence long, start double, end double, text string", arranged)
 
 
-def truncate_words(tokens: DataFrame, usual: float) -> DataFrame:
-    return fold(tokens, "stream_id", ["seq"], _TOKEN, lambda: M.Truncate(usual), "seq long, start double, end double, text string")
+def truncate_words(tokens: DataFrame, usual: float, arranged: bool = False) -> DataFrame:
+    return fold(tokens, "stream_id", ["seq"], _TOKEN, lambda: M.Truncate(usual), "seq long, start double, end double, text string", arranged)
+
+
+def cues(tokens: DataFrame, arranged: bool = False, **layout: float) -> DataFrame:
+    """Subtitle cues of each stream."""
+    return fold(tokens, "stream_id", ["seq"], ["start", "end", "text"], lambda: M.Cues(**layout), "cue long, start double, end double, text string", arranged)
+
+
+def fill_silence(tokens: DataFrame, least_ms: int = 4000, arranged: bool = False) -> DataFrame:
+    """Rows of speaker -2 for gaps of at least least_ms, the one before the first token included (W3). Whole milliseconds."""
+    columns = ["seq", "start_ms", "end_ms", "text", "speaker"]
+    return fold(tokens, "stream_id", ["seq"], columns, lambda: M.Gaps(least_ms), "seq long, start_ms long, end_ms long, text string, speaker int", arranged)
 
 
 @F.pandas_udf(ArrayType(StringType()))

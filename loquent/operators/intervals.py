@@ -72,15 +72,6 @@ def frames_to_segments(frames: DataFrame, frame_ms: int) -> DataFrame:
     return runs.groupBy("stream_id", "island").agg((F.min("frame") * frame_ms).alias("start_ms"), ((F.max("frame") + 1) * frame_ms).alias("end_ms"), F.first("speaker").alias("speaker"))
 
 
-def fill_silence(tokens: DataFrame, least_ms: int = 4000) -> DataFrame:
-    """Rows of speaker -2 for gaps of at least least_ms, the one before the first token included."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    before = F.coalesce(F.lag("end_ms").over(w), F.lit(0))
-    gaps = tokens.withColumn("__before", before).filter(F.col("start_ms") - F.col("__before") >= least_ms)
-    silence = gaps.select("stream_id", F.col("seq"), F.col("__before").alias("start_ms"), F.col("start_ms").alias("end_ms"), F.lit("").alias("text"), F.lit(-2).alias("speaker"))
-    return tokens.select("stream_id", "seq", "start_ms", "end_ms", "text", "speaker").unionByName(silence)
-
-
 def trailing_silence(tokens: DataFrame, now_ms: Column, least_ms: int = 8000) -> DataFrame:
     """A row of silence where the last token ended at least least_ms before now."""
     last = tokens.groupBy("stream_id").agg(F.max("end_ms").alias("start_ms"), F.max("seq").alias("seq"))

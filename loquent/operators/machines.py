@@ -347,6 +347,61 @@ class Blanks:
         return self._end()
 
 
+@dataclass
+class Gaps:
+    """A row of silence before each token that begins at least `least` after the one before it, or after 0 (W3). Rows:
+    (seq, start, end, text, speaker)."""
+
+    least: int
+    last: int = 0
+
+    def push(self, row: tuple) -> list:
+        seq, start, end, _, _ = row
+        silent = start is not None and start - self.last >= self.least
+        out = [row, (seq, self.last, start, "", -2)] if silent else [row]
+        self.last = end or 0
+        return out
+
+    def close(self) -> list:
+        return []
+
+
+@dataclass
+class Cues:
+    """Subtitle cues from timed words: lines of at most `width`, `lines` lines a cue, a new cue after a pause (T19). Rows:
+    (start, end, text)."""
+
+    width: int = 42
+    lines: int = 2
+    pause: float = 3.0
+    text: str = ""
+    used: int = 0
+    rows: int = 1
+    begin: float = 0.0
+    last: float | None = None
+    number: int = 0
+
+    def push(self, row: tuple) -> list:
+        start, end, bare = row
+        out, word = [], " " + bare
+        fits = self.used + len(word) <= self.width
+        if self.last is None or start - self.last > self.pause or (not fits and self.rows >= self.lines):
+            out = self.close()
+            self.text, self.used, self.rows, self.begin = word.lstrip(), len(word.lstrip()), 1, start
+        elif fits:
+            self.text, self.used = self.text + word, self.used + len(word)
+        else:
+            self.text, self.used, self.rows = self.text + "\n" + word.lstrip(), len(word.lstrip()), self.rows + 1
+        self.last = end
+        return out
+
+    def close(self) -> list:
+        if not self.text:
+            return []
+        self.number += 1
+        return [(self.number - 1, self.begin, self.last, self.text.strip())]
+
+
 @dataclass
 class Monotonic:
     """Starts at least `gap` after the last end, ends not before starts (W9). Rows: (seq, start, end)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loquent.operators import folds as D
 from loquent.operators import intervals as I
 from loquent.plans.registry import Tables, query
 
@@ -14,12 +15,36 @@ timed AS (SELECT stream_id, seq, turn, text, seq * 300 + turn * 1500 AS start_ms
 SEGMENTS = """segs AS (SELECT stream_id, turn AS seg, min(start_ms) - 400 AS start_ms, max(end_ms) + 400 AS end_ms, CAST(turn % 2 + 1 AS INTEGER) AS speaker FROM timed GROUP BY 1, 2)"""
 
 
-def tokens(t: Tables):
-    w = Window.partitionBy("conv_id").orderBy("turn", "pos")
-    words = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    words = words.withColumn("seq", F.row_number().over(w).cast("long") - 1)
+def turns(t: Tables):
+    """stream_id, turn, texts (one, but for rows of the same turn), size and how many words the turns before have.
+
+    Rows lie by stream and turn in their partitions, and rows made from one of them may follow in its place: what is made of
+    words this way is arranged for folds, and no task sorts words, of which there are far more than turns.
+    """
+    rows = t.conversations.filter("text is not null").select(F.col("conv_id").alias("stream_id"), "turn", "text").repartition("stream_id")
+    rows = rows.groupBy("stream_id", "turn").agg(F.collect_list("text").alias("texts"))
+    rows = rows.withColumn("size", F.aggregate("texts", F.lit(0).cast("long"), lambda n, x: n + F.size(F.split(x, " "))))
+    before = F.sum("size").over(Window.partitionBy("stream_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0)))
+
+
+def words_of(texts):
+    """The words of a turn; of several texts the first words, then the second ones, as they are numbered by turn and place."""
+    split = F.transform(texts, lambda x: F.split(x, " "))
+    last = F.array_max(F.transform(split, lambda x: F.size(x))) - 1
+    mixed = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: F.filter(F.transform(split, lambda x: F.get(x, k)), lambda w: w.isNotNull())))
+    return F.when(F.size(texts) == 1, F.split(texts[0], " ")).otherwise(mixed)
+
+
+def spoken(rows, *more: str):
+    """Tokens of `turns`, in their place: stream_id, seq, turn, text, start_ms, end_ms, speaker, and what else is asked for."""
+    words = rows.select("*", F.posexplode(words_of(F.col("texts"))).alias("pos", "text")).withColumn("seq", F.col("before") + F.col("pos"))
     start = F.col("seq") * 300 + F.col("turn") * 1500
-    return words.select(F.col("conv_id").alias("stream_id"), "seq", "turn", "text", start.alias("start_ms"), (start + 250).alias("end_ms"), F.lit(-1).alias("speaker"))
+    return words.select("stream_id", "seq", "turn", "text", start.alias("start_ms"), (start + 250).alias("end_ms"), F.lit(-1).alias("speaker"), *more)
+
+
+def tokens(t: Tables):
+    return spoken(turns(t))
 
 
 def segments(t: Tables):
@@ -92,7 +117,7 @@ def _(t: Tables):
 
 @query("w3_fill_silence", f"WITH {TOKENS}, g AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS b FROM timed) SELECT stream_id, seq, start_ms, end_ms, text, speaker FROM timed UNION ALL SELECT stream_id, seq, b AS start_ms, start_ms AS end_ms, '' AS text, -2 AS speaker FROM g WHERE start_ms - b >= 1550")
 def _(t: Tables):
-    return I.fill_silence(tokens(t), 1550)
+    return D.fill_silence(tokens(t), 1550, arranged=True)
 
 
 @query("w4_trailing_silence", f"WITH {TOKENS} SELECT stream_id, max(seq) AS seq, max(end_ms) AS start_ms, CAST(100000 AS BIGINT) AS end_ms FROM timed GROUP BY 1 HAVING 100000 - max(end_ms) >= 8000")
