@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import pickle
 import threading
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -64,77 +65,103 @@ def watermarked(rows: DataFrame, late: str, ts: str = "ts") -> DataFrame:
 
 
 class _InOrder(StatefulProcessor):
-    """Rows wait until the watermark has passed them and then go to the machine in order; silence is a timer's business."""
+    """Rows wait until the watermark has passed them and then go to their key's machine in order; silence is a timer's business.
 
-    def __init__(self, machine, ts, order, inputs, pending, names, patience):
-        self.make, self.ts, self.order, self.inputs, self.pending_schema, self.names, self.patience = machine, ts, order, inputs, pending, names, patience
+    A group is a bucket of keys: what state costs by call is shared by all of them. Rows wait as they came, in Arrow blocks;
+    machines are kept together. `columns` are the key, the time in milliseconds, and what is kept of a row.
+    """
+
+    def __init__(self, machine, columns, order, inputs, names, patience):
+        self.make, self.columns, self.order, self.inputs, self.names, self.patience = machine, columns, [columns.index(c) for c in order], [columns.index(c) for c in inputs], names, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.pending_schema)
-        self.machine = handle.getValueState("machine", "machine binary, last_ms long")
+        self.pending = handle.getListState("pending", "rows binary")
+        self.machines = handle.getListState("machines", "machines binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, blocks = None, []
         for part in rows:
-            self.pending.appendList(list(part[self.pending_schema.names].astype(object).where(part[self.pending_schema.names].notna(), None).itertuples(index=False, name=None)))
-            least = int(part[self.ts + "_ms"].min())
+            columns = [part[c].astype(object).where(part[c].notna(), None) for c in self.columns]
+            # The key has a value even where it is null: whole numbers of a column with nulls would come as floating point.
+            # Columns of PySpark's frames lose names that begin with an underscore.
+            columns[0] = part["filled_key"].astype(object).where(~part["null_key"], None)
+            block = list(zip(*columns, strict=True))
+            blocks.append((pickle.dumps(block),))
+            least = min(r[1] for r in block)
             first = least if first is None else min(first, least)
-        if first is not None:
+        if blocks:
+            self.pending.appendList(blocks)
             self.handle.registerTimer(first)
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        at = self.pending_schema.names.index(self.ts + "_ms")
-        waiting = list(self.pending.get()) if self.pending.exists() else []
-        due, rest = [r for r in waiting if r[at] <= now], [r for r in waiting if r[at] > now]
-        state, last = self.machine.get() if self.machine.exists() else (None, None)
-        own = self.make() if state is None else pickle.loads(bytes(state))
-        places = [self.pending_schema.names.index(c) for c in self.order]
-        inputs = [self.pending_schema.names.index(c) for c in self.inputs]
+        due: dict[object, list] = defaultdict(list)
+        rest: list[tuple] = []
+        for (block,) in self.pending.get() if self.pending.exists() else ():
+            for row in pickle.loads(bytes(block)):
+                if row[1] <= now:
+                    due[row[0]].append(row)
+                else:
+                    rest.append(row)
+        #: Of each key its machine and the time of its last row, none if its silence was told.
+        known: dict[object, tuple] = {}
+        for (block,) in self.machines.get() if self.machines.exists() else ():
+            known.update(pickle.loads(bytes(block)))
         out: list[tuple] = []
-        for row in sorted(due, key=lambda r: tuple((r[p] is not None, r[p]) for p in places)):
-            if self.patience is not None and last is not None and row[at] - last > self.patience:
-                out += own.quiet(last, last + self.patience)
-            out += own.push(tuple(row[p] for p in inputs))
-            last = row[at]
-        if self.patience is not None and last is not None:
-            if now >= last + self.patience:
-                out += own.quiet(last, last + self.patience)
+        ended = now >= int(END.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000) - 366 * 86_400_000
+        for k in [*known, *(k for k in due if k not in known)]:
+            own, last = known.get(k) or (self.make(), None)
+            said: list[tuple] = []
+            for row in sorted(due.get(k, ()), key=lambda r: tuple((r[p] is not None, r[p]) for p in self.order)):
+                if self.patience is not None and last is not None and row[1] - last > self.patience:
+                    said += own.quiet(last, last + self.patience)
+                said += own.push(tuple(row[p] for p in self.inputs))
+                last = row[1]
+            if self.patience is not None and last is not None and now >= last + self.patience:
+                said += own.quiet(last, last + self.patience)
                 last = None
-            else:
-                self.handle.registerTimer(last + self.patience)
-        if now >= int(END.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000) - 366 * 86_400_000:
-            out += own.close()
-            self.machine.clear()
+            if ended:
+                said += own.close()
+            known[k] = own, last
+            out += [(k, *r) for r in said]
+        if ended or not known:
+            self.machines.clear()
         else:
-            self.machine.update((pickle.dumps(own), last))
+            kept = list(known.items())
+            self.machines.put([(pickle.dumps(kept[i : i + 1000]),) for i in range(0, len(kept), 1000)])
         if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(min(r[at] for r in rest))
-        elif waiting:
+            self.pending.put([(pickle.dumps(rest[i : i + 10_000]),) for i in range(0, len(rest), 10_000)])
+        else:
             self.pending.clear()
-        yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+        times = [r[1] for r in rest]
+        if self.patience is not None and not ended:
+            times += [last + self.patience for _, last in known.values() if last is not None]
+        if times:
+            self.handle.registerTimer(min(times))
+        yield pd.DataFrame(dict(zip(self.names, map(list, zip(*out, strict=True)), strict=True)) if out else {}, columns=self.names, dtype=object)
 
 
-def in_order(rows: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], machine: Callable[[], object], outputs: str, late: str, ts: str = "ts", patience: float | None = None) -> DataFrame:
+def in_order(rows: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], machine: Callable[[], object], outputs: str, late: str, ts: str = "ts", patience: float | None = None, buckets: int = 1024) -> DataFrame:
     """A machine for each key over a stream whose rows may come up to `late` out of order (S1, S8, S13; S4 and S19 by timer).
 
     Rows are held until the watermark passes them and pushed by (ts, *order), so the result equals a fold over the whole
     table, however rows are dealt to micro-batches; rows that come later than that drop. With `patience` (seconds) a key
     without rows for so long is told by `quiet(last_ms, noticed_ms)`, at the time of a timer. At the end of the stream
-    machines are closed. State is a machine and the rows of the last `late` for each key.
+    machines are closed. State is a machine and the rows of the last `late` for each key; keys share `buckets` groups, whose
+    number must stay as it is while a checkpoint is used.
     """
     # The one provider that has timers; a batch writes what changed, not whole files.
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    kept = list(dict.fromkeys([*order, *inputs]))
-    slim = watermarked(rows, late, ts).select(key, ts, F.unix_millis(ts).alias(ts + "_ms"), *(c for c in kept if c not in (key, ts, ts + "_ms")))
-    pending = StructType([StructField(f.name, f.dataType) for f in slim.schema.fields if f.name != ts and (f.name != key or key in kept)])
+    own = list(dict.fromkeys([key, ts + "_ms", *order, *inputs]))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket")
+    some = F.lit("" if rows.schema[key].dataType.typeName() == "string" else 0).cast(rows.schema[key].dataType)
+    slim = watermarked(rows, late, ts).withColumn(ts + "_ms", F.unix_millis(ts)).select(bucket, ts, F.coalesce(key, some).alias("filled_key"), F.col(key).isNull().alias("null_key"), *own)
     schema = StructType([StructField(key, rows.schema[key].dataType), *StructType.fromDDL(outputs).fields])
-    processor = _InOrder(machine, ts, [ts + "_ms", *order], list(inputs), pending, schema.names, None if patience is None else int(patience * 1000))
-    return slim.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    processor = _InOrder(machine, own, [ts + "_ms", *order], list(inputs), schema.names, None if patience is None else int(patience * 1000))
+    return slim.groupBy("__bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 # Correlation
