@@ -55,6 +55,23 @@ def test_order_does_not_depend_on_batches(spark, put, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_keys_that_share_a_group_keep_their_own_state(spark, put, tmp_path):
+    """Many keys in two groups of state, over two micro-batches, each with its own machine."""
+    rows = [(i, i % 50, at(i * 4), float(i * 4), i % 3 == 0) for i in range(200)]
+    schema = "id long, service long, ts timestamp, at double, ok boolean"
+    machine = lambda: M.Breaker(failures=2, rest=40.0)
+    out = "at double, state string, passed boolean"
+    folder = put(rows[:100], schema)
+    stream = S.read_table(spark, folder, spark.createDataFrame([], schema).schema)
+    run = lambda: S.run_all(W.in_order(stream, "service", ["id"], ["at", "ok"], machine, out, "30 seconds", buckets=2), f"{tmp_path}/checkpoint", f"{tmp_path}/out")
+    run()
+    put(rows[100:], schema)
+    W.end(spark, folder, stream.schema)
+    run()
+    want = D.fold(spark.createDataFrame(rows, schema), "service", ["at", "id"], ["at", "ok"], machine, out)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_rows_behind_the_watermark_drop(spark, put, tmp_path):
     schema = "id long, user_id long, ts timestamp"
     stream = S.read_table(spark, put([(1, 1, at(0)), (2, 1, at(500))], schema), spark.createDataFrame([], schema).schema)
