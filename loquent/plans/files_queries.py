@@ -90,7 +90,7 @@ def _(t: Tables):
     out = work_folder(t)
     cues = timed(t).select("stream_id", F.col("seq").alias("number"), "start", "end", "text")
     S.write_subtitles(cues, out, "srt")
-    return t.spark.read.option("basePath", f"{out}/srt").text(f"{out}/srt").groupBy("stream_id").agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains(" --> ")).alias("cues"))
+    return S.read_subtitles(t.spark, out, "srt").groupBy("stream_id").agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains(" --> ")).alias("cues"))
 
 
 @query("a14_messages_of_a_type", "SELECT event_id, value FROM events WHERE event_type = 'click'")

@@ -71,6 +71,18 @@ def write_subtitles(segments: DataFrame, path: str, kind: str) -> None:
         rows.repartition("stream_id").sortWithinPartitions("stream_id", "number").select("stream_id", "value").write.mode("overwrite").partitionBy("stream_id").text(f"{path}/{one}")
 
 
+def read_subtitles(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """stream_id and the lines (`value`) of the files of one kind that `write_subtitles` made (B7). Each task that lists
+    folders takes many of them; by default every folder has a task of its own, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.option("basePath", f"{path}/{kind}").text(f"{path}/{kind}")
+    finally:
+        spark.conf.set(key, before)
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """Write-ahead append."""
     events.write.mode("append").json(path)
