@@ -11,6 +11,7 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,27 @@ _l, _n, _s = _early("L"), _early("N"), r"\t-\r \xa0"
 PIECES = re.compile(rf" ?[{_l}]+|'(?:[stmd]|re|ve|ll)| ?[{_n}]+| ?[^{_s}{_l}{_n}]+|[{_s}]+(?![^{_s}])|[{_s}]+")
 
 
+class _Known(dict):
+    """Ids of the pieces met of late, and of before as much again; `turn` forgets the rest. What is not there is learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.before, self.long = learn, {}, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONG:
+            if piece not in self.long:
+                self.long[piece] = self.learn(piece)
+            return self.long[piece]
+        ids = self[piece] = self.before.get(piece) or self.learn(piece)
+        return ids
+
+    def turn(self) -> None:
+        self.long = {}
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """ids(texts) gives each text's ids as bytes of little-endian unsigned integers, with `end` appended.
 
@@ -52,42 +74,28 @@ class Encoder:
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         self.byte = dict(zip([b for b in range(256) if b not in set(shown)], range(256, 512), strict=False))
         self.space = chr(self.byte[32])
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        # Each access makes a new object.
+        self.asked = self.tokenizer.model.tokenize
+        self.known = _Known(self._learn)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces, each of which is one word to the model."""
-        model, kind = self.tokenizer.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
-        written = [p.replace(" ", self.space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte) for p in pieces]
-        return [array(kind, [t.id for t in model(w)]).tobytes() for w in written]
+    def _learn(self, piece: str) -> bytes:
+        """The ids of a piece, which is one word to the model."""
+        written = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.byte)
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.asked(written)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        known, before, met = self.known, self.before, set()
-        out: list[bytes | None] = []
-        split: list[list[str]] = []
+        self.known.turn()
+        at, out = self.known.__getitem__, []
+        # A text at a time, so that its pieces are still in the processor's cache when they are looked up.
         for t in texts:
             if self.plain and not LATE.search(t) and not any(a in t for a in self.added):
-                found = PIECES.findall(t)
-                met.update(found)
-                split.append(found)
-                out.append(None)
+                out.append(b"".join(map(at, PIECES.findall(t))) + self.end)
             else:
                 out.append(self._whole(t) + self.end)
-        missing = met.difference(known)
-        again = missing.intersection(before)
-        known.update((p, before[p]) for p in again)
-        new = list(missing - again)
-        long = {}
-        for p, ids in zip(new, self._learn(new), strict=True):
-            (known if len(p) <= LONG else long)[p] = ids
-        at = (known | long).__getitem__ if long else known.__getitem__
-        rest = iter(split)
-        return [b"".join(map(at, next(rest))) + self.end if x is None else x for x in out]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -79,3 +79,18 @@ def test_row_sums_of_few_many_and_no_tokens():
 def test_gradient_step_costs_less_than_sums_of_sorted_rows(model):
     args = batch_of(maxent.BATCH)
     assert least_seconds(lambda: model.update(*args)) < 0.7 * least_seconds(lambda: plain_update(model, *args))
+
+
+def test_encoder_asks_for_each_piece_once_and_forgets_long_ones(monkeypatch):
+    from loquent.llm import queries, tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    enc, asked = tokens.Encoder(queries.tokenizer()), []
+    library = enc.asked
+    enc.asked = lambda written: asked.append(written) or library(written)
+    long = "a" * (tokens.LONG + 1)
+    texts = ["one two one", f"two {long} {long}", "", "one two three four"]
+    first = enc.ids(texts)
+    assert len(asked) == len(set(asked)) == 7 and " " + long not in enc.known
+    # After a turn what was met before is not asked for again, but for the long one.
+    assert enc.ids(texts) == first and len(asked) == 8 and len(enc.known) == 6
